@@ -1,14 +1,15 @@
 """Exact n-gram Jaccard join: a blocked sparse product of the document by shingle incidence.
 
-The incidence matrix is cut by shingle into blocks of columns; a block's rows are document signatures. Only the columns
-that the pigeonhole principle needs are moved: of the shingles of a document, in hash order, the first
-`n - ceil(t n) + l(n)`. Two documents with Jaccard >= t share at least l of those, so a document that shares fewer than
-l(ceil(t n)) columns with any other text has no partner and leaves before any pair is formed. For the others, a block
-accumulates overlap counts between its rows, dropping pairs whose overlap cannot reach the bound that their sizes give.
+The incidence matrix is cut by shingle into blocks of columns; a block's rows are document signatures. Columns are put in
+order of rarity. Two documents with Jaccard >= t share at least ceil(t n) columns, so a document with fewer columns that
+any other text has leaves before any pair is formed, and two linked documents meet in one of their n - ceil(t n) + 1
+rarest. Documents that meet there are multiplied in blocks of rows, which accumulates their overlap counts; pairs below
+the bound that their sizes give are dropped.
 
 Copies (equal shingle sets) are one row. Groups of near copies are joined first within small blocks of rows with the same
-min-hash; after that only pairs between different classes are formed from the shared rare columns, so a group of copies
-never makes all its pairs. Those pairs are counted exactly, hence no link between different texts is lost.
+min-hash. After that a block holds rows of a column that are not in the column's largest class against rows of that
+column, and gives one link for each pair of a row and a class; so a group of near copies never makes all its pairs.
+Overlaps are counted exactly, hence no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from ._spark import map_slices, materialize, release, shuffle_partitions, slices
 from ._text import U, mix, shingle_sets, signature
 from .components import connected_components
 
-BLOCK_ROWS = 128
+BLOCK_ROWS = 192
+#: Columns with at most so many rows make their pairs.
+PAIR_ROWS = 8
 BROADCAST_ROWS = 400_000
 _BANDS = 2
 
@@ -38,19 +41,9 @@ class Bounds:
         self.num, self.den = t.numerator, t.denominator
 
     def least(self, n):
-        """ceil(t n): the least size of a partner, and the least overlap with one of n's size or less."""
+        """ceil(t n): the least size of a partner, and the least overlap with it."""
         return -(-n * self.num // self.den)
 
-    def shared(self, n):
-        """l(n), which grows with n."""
-        return n * (self.den - self.num) // self.den + 1
-
-    def needed(self, n):
-        return self.shared(self.least(n))
-
-    def moved(self, n):
-        return np.minimum(n, n - self.least(n) + self.shared(n))
-
     def linked(self, both, n, m):
         return both * (self.num + self.den) >= self.num * (n + m)
 
@@ -65,7 +58,7 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
     return map_slices(docs, "text", one, "doc_id long, n_shingles long, sig long")
 
 
-_ENTRY = np.dtype([("h", "<u8"), ("sig", "<i8"), ("n", "<u4")])
+_LOW = U((1 << 48) - 1)
 
 
 def _packed(bucket: np.ndarray, entries: dict[str, np.ndarray]) -> Iterator[dict]:
@@ -82,27 +75,37 @@ def _batch(rows: list[dict], fields: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r["bucket"] for r in rows], pa.int32()), *(pa.array([r[f] for r in rows], pa.binary()) for f in fields)], names=["bucket", *fields])
 
 
-def _columns(docs: DataFrame, k: int, bounds: Bounds, buckets: int) -> DataFrame:
-    """The moved part of the incidence matrix, in blocks of (bucket of columns, slice of documents)."""
+def _columns(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+    """The incidence matrix in blocks of (bucket of columns, slice of documents).
+
+    A column's name is its bucket and 48 bits. A block has its rows' signatures and sizes once, how many of its columns
+    each row has, and the columns' names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
             sets, _ = shingle_sets(piece.column("text"), k)
-            part, sigs, ns, seen = [], [], [], set()
+            part, sigs, seen = [], [], set()
             for s in sets:
                 if len(s) and (sig := signature(s)) not in seen:  # a copy adds nothing
                     seen.add(sig)
-                    part.append(s[: bounds.moved(len(s))])
+                    part.append(s)
                     sigs.append(sig)
-                    ns.append(len(s))
-            if part:
-                size = [len(x) for x in part]
-                h = np.concatenate(part)
-                bucket = ((mix(h) >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
-                fields = {"h": h, "sig": np.repeat(np.array(sigs, np.int64), size), "n": np.repeat(np.array(ns, np.uint32), size)}
-                yield _batch(list(_packed(bucket, fields)), ("h", "sig", "n"))
+            if not part:
+                continue
+            size = np.array([len(x) for x in part])
+            h = mix(np.concatenate(part))
+            row = np.repeat(np.arange(len(part), dtype=np.int32), size)
+            sig = np.array(sigs, np.int64)
+            bucket = ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+            out = []
+            for block in _packed(bucket, {"h": h & _LOW, "row": row}):
+                own, count = np.unique(np.frombuffer(block["row"], np.int32), return_counts=True)
+                name = np.frombuffer(block["h"], np.uint64).view(np.uint16).reshape(-1, 4)
+                out.append({"bucket": block["bucket"], "h": name[:, :3].tobytes(), "sig": sig[own].tobytes(), "n": size[own].astype(np.uint32).tobytes(), "has": count.astype(np.uint16).tobytes() if count.max() < 1 << 16 else count.astype(np.uint32).tobytes()})
+            yield _batch(out, ("h", "sig", "n", "has"))
 
-    return docs.mapInArrow(run, "bucket int, h binary, sig binary, n binary")
+    return docs.mapInArrow(run, "bucket int, h binary, sig binary, n binary, has binary")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], fields: dict[str, type]) -> tuple[np.ndarray, ...] | None:
@@ -115,19 +118,45 @@ def _gathered(batches: Iterator[pa.RecordBatch], fields: dict[str, type]) -> tup
     return tuple(np.frombuffer(b"".join(parts.pop(f)), dtype) for f, dtype in fields.items())
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(column, signature, size) of every entry of some blocks."""
+    hs, sigs, ns, has = [], [], [], []
+    for batch in batches:
+        for block in batch.to_pylist():
+            low = np.frombuffer(block["h"], np.uint16).reshape(-1, 3)
+            name = np.empty((len(low), 4), np.uint16)
+            name[:, :3], name[:, 3] = low, block["bucket"] & 0xFFFF
+            hs.append(name.reshape(-1).view(np.uint64))
+            sigs.append(np.frombuffer(block["sig"], np.int64))
+            ns.append(np.frombuffer(block["n"], np.uint32))
+            width = len(block["has"]) // len(sigs[-1])
+            has.append(np.frombuffer(block["has"], f"<u{width}").astype(np.int64))
+    if not hs:
+        return None
+    has = np.concatenate(has)
+    return np.concatenate(hs), np.repeat(np.concatenate(sigs), has), np.repeat(np.concatenate(ns), has)
+
+
 def _shared_columns(blocks: DataFrame, buckets: int, partitions: int) -> DataFrame:
     """Columns with two rows or more, as blocks by row signature: (bucket, sig, n, h, rows in the column)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gathered(batches, {"h": np.uint64, "sig": np.int64, "n": np.uint32})
+        got = _unpacked(batches)
         if got is None:
             return
         h, sig, n = got
+        order = np.argsort(h)
+        h = h[order]
+        again = h[1:] == h[:-1]
+        keep = np.concatenate(([False], again)) | np.concatenate((again, [False]))
+        h, order = h[keep], order[keep]
+        sig, n = sig[order], n[order]
         order = np.lexsort((sig, h))
         h, sig, n = h[order], sig[order], n[order]
-        keep = np.concatenate(([True], (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])))  # copies from other slices
+        keep = np.ones(len(h), bool)
+        keep[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])  # copies from other slices
         h, sig, n = h[keep], sig[keep], n[keep]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
         rows = np.diff(np.append(first, len(h)))
         rows = np.repeat(rows, rows).astype(np.uint32)
         keep = rows > 1
@@ -152,8 +181,8 @@ def _postings(shared: DataFrame, bounds: Bounds, partitions: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         count = np.diff(np.append(first, len(sig)))
         size = n[first]
-        alone = bounds.moved(size) - count  # columns of this row alone come first in the order of rarity
-        prefix = np.where(count >= bounds.needed(size), bounds.moved(size) - bounds.needed(size) + 1 - alone, 0)
+        alone = size - count  # columns of this row alone come first in the order of rarity
+        prefix = np.where(count >= bounds.least(size), size - bounds.least(size) + 1 - alone, 0)
         place = np.arange(len(sig)) - np.repeat(first, count)
         keep = place < np.repeat(prefix, count)
         yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(sig[keep]), pa.array(n[keep])], names=["tok", "sig", "n"])
@@ -203,13 +232,55 @@ def _close(sets: DataFrame, bounds: Bounds) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["sig", "band", "key"])
 
     found = materialize(sets.mapInArrow(keys, "sig long, band int, key long"), "jaccard-keys")
-    groups = materialize(found.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("m > 1"), "jaccard-groups")
+    groups = materialize(found.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).where(F.col("m") > PAIR_ROWS), "jaccard-groups")
     placed = found.join(groups, ["band", "key"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
     own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     placed = placed.select("sig", "band", "key", F.explode(F.when((F.col("sig") == F.col("lo")) | (F.col("sig") == F.col("hi")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block"))
     return placed.join(sets.select("sig", "items"), "sig").groupBy("band", "key", "block").applyInPandas(_block_edges(bounds), "a long, b long")
 
 
+def _open(named: DataFrame) -> DataFrame:
+    """Columns whose rows are in several classes: (tok, rows m, rows beside the largest class s, that class). Of columns
+    with the same rows, one stands for all."""
+    by_class = named.groupBy("tok", "cls").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"))
+    by_tok = by_class.groupBy("tok").agg(F.sum("c").alias("m"), F.count("*").alias("classes"), F.max(F.struct("c", "cls")).alias("top"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("classes > 1")
+    return by_tok.groupBy("x", "y", "m").agg(F.min(F.struct("tok", "top")).alias("t")).select("t.tok", "m", (F.col("m") - F.col("t.top.c")).alias("s"), F.col("t.top.cls").alias("top"))
+
+
+def _across(named: DataFrame, open_: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
+    """Links between classes within large columns, by blocks of (rows beside the largest class) x (all rows)."""
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
+    rows = named.join(open_, "tok").select("tok", "sig", "cls", "top", blocks("s").alias("i_blocks"), blocks("m").alias("j_blocks"))
+    spot = lambda c: F.pmod(F.xxhash64("sig"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    beside = rows.where("cls <> top").select("tok", "sig", "cls", F.lit(0).alias("role"), spot("i_blocks").alias("i"), every("j_blocks").alias("j"))
+    against = rows.select("tok", "sig", "cls", F.lit(1).alias("role"), every("i_blocks").alias("i"), spot("j_blocks").alias("j"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, m = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
+        a, b = [], []
+        if len(s) and len(m):
+            sets = [np.frombuffer(x, np.uint64) for x in m["items"]]
+            size = np.array([len(x) for x in sets])
+            items = np.concatenate(sets)
+            order = np.argsort(items, kind="stable")
+            items, row = items[order], np.repeat(np.arange(len(sets)), size)[order]
+            cls, sig = m["cls"].to_numpy(), m["sig"].to_numpy()
+            for own, c, x in zip(s["sig"].tolist(), s["cls"].tolist(), s["items"], strict=True):
+                x = np.frombuffer(x, np.uint64)
+                lo, hi = np.searchsorted(items, x), np.searchsorted(items, x, "right")
+                hits = np.concatenate([row[p:q] for p, q in zip(lo.tolist(), hi.tolist(), strict=True)])
+                both = np.bincount(hits, minlength=len(sets))
+                found = np.flatnonzero((cls != c) & bounds.linked(both, len(x), size))
+                _, one = np.unique(cls[found], return_index=True)
+                a += [own] * len(one)
+                b += sig[found[one]].tolist()
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    placed = beside.unionByName(against).join(sets, "sig")
+    return placed.groupBy("tok", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def _counted(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
     """The pairs whose exact overlap reaches the bound."""
     left = sets.select(F.col("sig").alias("a"), F.col("items").alias("x"))
@@ -240,7 +311,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, threshold: Fract
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     partitions = shuffle_partitions(spark)
     told = materialize(_described(docs, shingle_words), "jaccard-docs")
-    shared = _shared_columns(_columns(docs, shingle_words, bounds, 2 * partitions), 2 * partitions, partitions)
+    shared = _shared_columns(_columns(docs, shingle_words, 2 * partitions), 2 * partitions, partitions)
     postings = materialize(_postings(shared, bounds, partitions), "jaccard-postings")
     reps = materialize(told.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
 
@@ -256,15 +327,14 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, threshold: Fract
     near = materialize(_close(sets, bounds), "jaccard-near")
     label = connected_components(near, "jaccard-first")
 
-    named = postings.join(label, postings.sig == label.node, "left").select("tok", "sig", "n", F.coalesce("label", "sig").alias("cls"))
-    named = materialize(named, "jaccard-named")
-    open_ = named.groupBy("tok").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("tok")
-    open_ = materialize(named.join(open_, "tok", "left_semi"), "jaccard-open")
-    x, y = open_.alias("x"), open_.alias("y")
+    named = materialize(postings.join(label, postings.sig == label.node, "left").select("tok", "sig", "n", F.coalesce("label", "sig").alias("cls")), "jaccard-named")
+    open_ = materialize(_open(named), "jaccard-open")
+    few = named.join(open_.where(F.col("m") <= PAIR_ROWS).select("tok"), "tok", "left_semi")
+    x, y = few.alias("x"), few.alias("y")
     ratio = F.col("x.n") * bounds.num <= F.col("y.n") * bounds.den
     back = F.col("y.n") * bounds.num <= F.col("x.n") * bounds.den
     pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.cls") < F.col("y.cls")) & ratio & back).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
-    links = _counted(materialize(pairs, "jaccard-pairs"), sets, bounds)
+    links = _counted(materialize(pairs, "jaccard-pairs"), sets, bounds).unionByName(_across(named, open_.where(F.col("m") > PAIR_ROWS), sets, bounds))
     edges = materialize(links.unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))), "jaccard-links")
     label = connected_components(edges, "jaccard-last")
 
