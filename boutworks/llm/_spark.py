@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 _LOCAL: dict[str, str] = {}
@@ -73,3 +74,14 @@ def map_slices(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Rec
             yield fn(piece)
 
     return df.mapInArrow(run, schema)
+
+
+BROADCAST_ROWS = 400_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in `ids` (a written table); ids go to all executors only if they are few."""
+    gone = ids.select(F.col("doc_id").alias("gone_id"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

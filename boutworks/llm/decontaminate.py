@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import map_slices, slices
+from ._spark import map_slices, materialize, slices, without
 from ._text import U, WORDLIKE, _weights, buffer, mix, word_hashes, word_spans
 
 BLOCK_BYTES = 16 << 20
@@ -156,7 +156,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, lea
         frequency = _counted(docs, spark.sparkContext.broadcast(index)) if len(index.vocabulary) else np.zeros(0, np.int64)
         index.index(frequency)
         state = _pass(state, spark.sparkContext.broadcast(index), first=block == 0, last=block == blocks - 1)
-    return map_rows(state, least_share)
+    return _told(state, least_share)
 
 
 def _pass(state: DataFrame, told, first: bool, last: bool) -> DataFrame:
@@ -191,7 +191,7 @@ def _pass(state: DataFrame, told, first: bool, last: bool) -> DataFrame:
     return map_slices(state, "text", run, _STATE + ("" if last else ", text string"))
 
 
-def map_rows(state: DataFrame, least_share: int) -> DataFrame:
+def _told(state: DataFrame, least_share: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -206,3 +206,9 @@ def map_rows(state: DataFrame, least_share: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
     return state.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_share: int = 20) -> DataFrame:
+    """docs less the contaminated ones; rows without a doc_id stay."""
+    told = decontamination(docs.where("doc_id is not null"), benchmark, window, least_share)
+    return without(docs, materialize(told.where("contaminated").select("doc_id").distinct(), "contaminated"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import map_slices, materialize
+from ._spark import map_slices, materialize, without
 from ._text import _BYTES, SPACED, U, _powers, buffer, mix
 
 WINDOW = 16
@@ -105,3 +105,15 @@ def exact_groups(docs: DataFrame, fingerprint_bits: int = 64) -> DataFrame:
     out = part.select("text_sha256", F.min("lo").over(group).alias("keep_id"), F.sum("n").over(group).alias("group_size"), F.posexplode(F.array_sort("ids")).alias("pos", "doc_id"))
     # A repeated row has its doc_id at two places of one salted list; the first stays.
     return out.select("doc_id", "keep_id", "group_size", ((F.col("doc_id") == F.col("keep_id")) & (F.col("pos") == 0)).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of equal texts, that of the smallest doc_id; rows without a doc_id stay."""
+    told = materialize(exact_groups(docs.where("doc_id is not null")).select("doc_id", "kept"), "dedup-told")
+    repeated = materialize(told.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")), "dedup-ids")
+    out = without(docs, repeated.where("not kept").select("doc_id"))
+    twice = materialize(repeated.where("kept and n > 1").select("doc_id"), "dedup-twice")
+    if twice.isEmpty():
+        return out
+    some = out.join(twice.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left_semi")
+    return without(out, twice).unionByName(some.dropDuplicates(["doc_id"]))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import map_slices, materialize, release, shuffle_partitions, slices
+from ._spark import map_slices, materialize, release, shuffle_partitions, slices, without
 from ._text import U, mix, shingle_sets, signature
 from .components import connected_components
 
@@ -345,3 +345,9 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, threshold: Fract
     names = materialize(of_sig.join(smallest, "cls").select("sig", "component_id"), "jaccard-names")
     release(postings, live, sets, near, named, open_, edges)
     return told.join(names, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, shingle_words: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id; rows without a doc_id stay."""
+    told = jaccard_components(docs.where("doc_id is not null"), shingle_words, threshold)
+    return without(docs, materialize(told.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone"))

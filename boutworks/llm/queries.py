@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontamination
 from .exact_dedup import exact_groups
+from .langid_crf import language_id
 from .license_scan import license_scan
 from .ngram_jaccard import jaccard_components
 from .packing import pack
@@ -40,6 +41,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages")).drop("ratio")
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_toxicity": op3_toxicity,
+    "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
     "op6_token_binary": op6_token_binary,
     "op7_license_scan": op7_license_scan,

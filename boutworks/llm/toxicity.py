@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import slices
+from ._spark import materialize, slices, without
 from ._text import LOWER, WORDLIKE, buffer, word_hashes, word_spans
 
 #: Labelled documents of each class that a model is fitted on, and the most characters of each that training reads.
@@ -151,25 +151,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     return [r.text for r in rows], [r.y for r in rows]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted, and the columns of docs named in keep.
+def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.7) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score, predicted.
 
     score is the fitted chance that the label is 1, predicted 1 from the threshold on; both take the text alone. A null
     or empty text has no windows and the score of that. Without labels of both kinds, scores are near the share of the
-    labels there are (one half if none). Repeated rows each get a row, an empty table gives an empty one.
+    labels there are (one half if none). Repeated rows each get a row, an empty table gives an empty one; other columns
+    are ignored.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(*training_rows(docs, labels, sample_rows)))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c) for c in keep if c not in ("doc_id", "text")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name != "text" or "text" in keep)
+    model = docs.sparkSession.sparkContext.broadcast(fit(*training_rows(docs, labels, sample_rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(model.value)
         for piece in slices(batches, "text"):
             score = model.value.score(windows.features(piece.column("text")))
-            kept = [n for n in piece.schema.names if n != "text" or "text" in keep]
-            yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in kept), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    out = plain.mapInArrow(run, f"{schema}, score double, predicted int")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
     held = F.expr("coalesce(crc32(cast(doc_id as string)) % 3 = 1, false)")
-    return out.select("doc_id", held.alias("held_out"), "score", "predicted", *(c for c in keep if c != "doc_id"))
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.7) -> DataFrame:
+    """docs less those predicted toxic; rows without a doc_id stay."""
+    told = toxicity(docs.where("doc_id is not null"), labels, sample_rows, threshold)
+    return without(docs, materialize(told.where("predicted = 1").select("doc_id").distinct(), "toxic"))
