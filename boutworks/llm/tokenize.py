@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WORDS_KEPT = 1_000_000
-PIECES_KEPT = 700_000
+WORDS_KEPT = 500_000
+PIECES_KEPT = 400_000
 #: Of these characters lower-casing, normalisation and splitting are the same here and in the library.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
