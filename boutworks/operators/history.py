@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import log_odds
+from ..sources.shared import written
 
 KEY = ("ts", "fingerprint", "member", "row_no")
 
@@ -148,22 +147,14 @@ def player_support(rows: DataFrame) -> DataFrame:
 
 def opponent_components(rows: DataFrame) -> DataFrame:
     """(player, component): the smallest player reachable over opponents, by min-label rounds on written tables."""
-    spark = rows.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-    def cut(df: DataFrame) -> DataFrame:
-        path = f"{root}/opponents-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     edges = rows.select(F.col("player_a").alias("x"), F.col("player_b").alias("y")).distinct()
-    edges = cut(edges.union(edges.select("y", "x")).distinct())
-    labels = cut(edges.groupBy(F.col("x").alias("player")).agg(F.least(F.first("x"), F.min("y")).alias("component")))
+    edges = written(edges.union(edges.select("y", "x")).distinct(), "opponents")
+    labels = written(edges.groupBy(F.col("x").alias("player")).agg(F.least(F.first("x"), F.min("y")).alias("component")), "opponents")
     while True:
         near = edges.join(labels, edges.y == labels.player).groupBy(F.col("x").alias("player")).agg(F.min("component").alias("near"))
         moved = labels.join(near, "player").select("player", F.least("component", "near").alias("component"))
         up = labels.select(F.col("player").alias("component"), F.col("component").alias("above"))
-        moved = cut(moved.join(up, "component").select("player", F.least("component", "above").alias("component")))
+        moved = written(moved.join(up, "component").select("player", F.least("component", "above").alias("component")), "opponents")
         if moved.join(labels, ["player", "component"], "left_anti").isEmpty():
             return moved
         labels = moved
