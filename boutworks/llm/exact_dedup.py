@@ -102,7 +102,9 @@ def exact_groups(docs: DataFrame, fingerprint_bits: int = 64) -> DataFrame:
     keyed = found.select("doc_id", "text_sha256", F.array_join(identifiers, ",").alias("recipe"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     part = keyed.groupBy("recipe", "text_sha256", "salt").agg(F.collect_list("doc_id").alias("ids"), F.min("doc_id").alias("lo"), F.count("*").alias("n"))
     group = Window.partitionBy("recipe", "text_sha256")
-    out = part.select("text_sha256", F.min("lo").over(group).alias("keep_id"), F.sum("n").over(group).alias("group_size"), F.posexplode(F.array_sort("ids")).alias("pos", "doc_id"))
+    # Counted before the lists are opened, in a step of its own: a window beside a generator would run after it.
+    counted = part.select("text_sha256", "ids", F.min("lo").over(group).alias("keep_id"), F.sum("n").over(group).alias("group_size"))
+    out = counted.select("text_sha256", "keep_id", "group_size", F.posexplode(F.array_sort("ids")).alias("pos", "doc_id"))
     # A repeated row has its doc_id at two places of one salted list; the first stays.
     return out.select("doc_id", "keep_id", "group_size", ((F.col("doc_id") == F.col("keep_id")) & (F.col("pos") == 0)).alias("kept"), "text_sha256")
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries_sql
 from .decontaminate import decontamination
 from .exact_dedup import exact_groups
 from .langid_crf import language_id
@@ -84,13 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-
 SQL: dict[str, str] = {
-    "op8_exact_dedup": """
-        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS s FROM documents)
-        SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
-               doc_id = min(doc_id) OVER (PARTITION BY s) AS kept, sha256(s) AS text_sha256
-        FROM t
-    """,
+    "op1_decontaminate": queries_sql.OP1,
+    "op5_url_filter": queries_sql.OP5,
+    "op7_license_scan": queries_sql.OP7,
+    "op8_exact_dedup": queries_sql.OP8,
 }

@@ -95,6 +95,15 @@ def test_exact_groups_are_brute_force(spark, awkward, bits):
     assert sorted(tuple(r) for r in exact_groups(awkward, bits).collect()) == want
 
 
+def test_exact_groups_of_many_copies(spark):
+    """Hundreds of copies, so that several share a salted list."""
+    docs = spark.range(700).selectExpr("id as doc_id", "case when id % 7 = 0 then 'odd ' || id else 'the  same\\ntext' end as text")
+    rows = exact_groups(docs).collect()
+    assert {(r.keep_id, r.group_size) for r in rows if r.doc_id % 7} == {(1, 600)}
+    assert all(r.group_size == 1 for r in rows if r.doc_id % 7 == 0)
+    assert sum(r.kept for r in rows) == 101
+
+
 def test_exact_groups_of_repeated_rows(spark, awkward):
     once = awkward.where("doc_id < 40")
     got = exact_groups(once.union(once)).collect()
