@@ -39,9 +39,9 @@ def canonical_z(ts: Column) -> Column:
 
 
 def json_text(c: Column) -> Column:
-    """A JSON string; characters beyond ASCII are to be escaped by the caller."""
-    escaped = F.regexp_replace(F.regexp_replace(c, r"\\\\", r"\\\\\\\\"), '"', r'\\\\"')
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    """A JSON string. Characters beyond ASCII stay as they are."""
+    told = F.to_json(F.array(c))
+    return F.substr(told, F.lit(2), F.length(told) - 2)
 
 
 def event_body(mode: Column, source: Column, ts: Column, side_a: tuple[Column, Column, Column], side_b: tuple[Column, Column, Column]) -> Column:
@@ -61,7 +61,11 @@ def event_body(mode: Column, source: Column, ts: Column, side_a: tuple[Column, C
         body = F.concat(F.lit('{"cards":'), c, F.lit(',"player_id":"'), player, F.lit('"}'))
         texts.append(F.struct(order.alias("o"), body.alias("b")))
     first, second = F.least(*texts), F.greatest(*texts)
-    return F.concat(F.lit('{"mode":"'), mode, F.lit('","sides":['), first["b"], F.lit(","), second["b"], F.lit('],"source_id":"'), source, F.lit('","timestamp":"'), iso_utc(ts), F.lit('"'))
+    return F.concat(F.lit('{"mode":'), json_text(mode), F.lit(',"sides":['), first["b"], F.lit(","), second["b"], F.lit('],"source_id":'), json_text(source), F.lit(',"timestamp":"'), iso_utc(ts), F.lit('"'))
+
+
+def lineup_hash(deck: Column, tower: Column, level: Column) -> Column:
+    return sha256(F.concat_ws("|", deck, tower, level.cast("string")))
 
 
 def event_key(body: Column) -> Column:

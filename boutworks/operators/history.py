@@ -189,6 +189,12 @@ def stability(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.avg(F.abs(d)).alias("mean_abs"), F.sqrt(F.avg(d * d)).alias("rms"), F.max(F.abs(d)).alias("max_abs"))
 
 
+def shrinkage(effects: DataFrame, column: str = "effect") -> DataFrame:
+    """Mean square and largest size of fitted effects."""
+    e = F.col(column)
+    return effects.agg(F.avg(e * e).alias("mean_square"), F.max(F.abs(e)).alias("max_abs"))
+
+
 def faced_most(rows: DataFrame, limit: int = 5) -> DataFrame:
     """The opposing items met most, their mean chance; ties by name in binary order."""
     met = rows.select(F.explode("items_b").alias("item"), "p").groupBy("item").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"))

@@ -90,7 +90,7 @@ def boosted(spark, sf_dir):
 
 @query("m18_fitted_temperature", None)
 def fitted(spark, sf_dir):
-    rows = decided(spark, sf_dir).withColumn("logit", S.logit(0.5 + (F.col("label") - 0.5) * 0.2 + (F.col("p") - 0.5) * 0.2))
+    rows = decided(spark, sf_dir).withColumn("logit", S.logit(0.3 + 0.4 * F.when(F.col("row_no") % 4 == 0, 1 - F.col("label")).otherwise(F.col("label"))))
     t = models.fit_temperature(rows, "logit")
     return rounded(spark.createDataFrame([(t,)], "temperature double"), 4)
 
@@ -110,3 +110,47 @@ def windows_union(spark, sf_dir):
 
     rows = any_window(bouts(spark, sf_dir), [("1996-01-01", "1996-07-01"), ("1998-01-01", "1998-02-01")])
     return rows.groupBy("member").agg(F.count("*").alias("n"))
+
+
+@query("v22_compared_variants", BOUTS_SQL + """, d AS (SELECT label, unnest([{'a': 'even', 'b': 'p', 'x': 0.5::DOUBLE, 'y': p}, {'a': 'even', 'b': 'q', 'x': 0.5::DOUBLE, 'y': q}, {'a': 'p', 'b': 'q', 'x': p, 'y': q}]) AS u FROM decided),
+l AS (SELECT u.a AS first, u.b AS second, -(label * ln(u.x) + (1 - label) * ln(1 - u.x)) + (label * ln(u.y) + (1 - label) * ln(1 - u.y)) AS dl, (u.x - label) ** 2 - (u.y - label) ** 2 AS db FROM d)
+SELECT first, second, count(*) AS n, round(avg(dl), 6) + 0.0 AS d_log_loss, round(avg(db), 6) + 0.0 AS d_brier FROM l GROUP BY 1, 2""")
+def compared(spark, sf_dir):
+    from ..operators import studies
+
+    return rounded(studies.compared(decided(spark, sf_dir), {"p": F.col("p"), "q": F.col("q"), "even": F.lit(0.5)}))
+
+
+@query("v22_variant_report")
+def variant_report(spark, sf_dir):
+    from ..operators import metrics, studies
+    from .scoring import held_out
+
+    return rounded(studies.report(held_out(spark, sf_dir), {"p": F.col("p"), "q": F.col("q")}, metrics.slice_names()))
+
+
+@query("v23_confirm")
+def confirmed(spark, sf_dir):
+    from ..operators import studies
+
+    return rounded(studies.confirm(decided(spark, sf_dir), {"p": F.col("p"), "even": F.lit(0.5)}, F.col("q")))
+
+
+@query("m27_predict", BOUTS_SQL + "SELECT member, row_no, list_max(list_transform(range(0, 8), lambda i: (deck_a + 13 * i) % 104)) < 100 AND list_max(list_transform(range(0, 8), lambda i: (deck_b + 13 * i) % 104)) < 100 AS available FROM decided")
+def predicted(spark, sf_dir):
+    from ..operators import studies
+
+    rows = oriented(spark, sf_dir)
+    model = {"kind": "item-effects", "effects": counts.item_effects(counts.item_counts(rows))}
+    got = studies.predict(rows, model, list(range(100)))
+    return got.select("member", "row_no", "available")
+
+
+@query("a45_shrinkage", "SELECT round(avg(l_tax * l_tax), 6) + 0.0 AS mean_square, round(max(abs(l_tax)), 6) + 0.0 AS max_abs FROM lineitem")
+def shrinkage(spark, sf_dir):
+    return rounded(history.shrinkage(table(spark, sf_dir, "lineitem"), "l_tax"))
+
+
+@query("v16_lineup_hashes", BOUTS_SQL + "SELECT member, row_no, sha256(deck_a::VARCHAR || '|' || player_a || '|16') AS lineup FROM decided")
+def lineups(spark, sf_dir):
+    return decided(spark, sf_dir).select("member", "row_no", S.lineup_hash(F.col("deck_a").cast("string"), F.col("player_a"), F.lit(16)).alias("lineup"))

@@ -44,9 +44,9 @@ def test_event_key_and_fingerprint(spark):
         ts = T0 + dt.timedelta(microseconds=rng.choice([0, 0, rng.randrange(10**12)]))
         winner = rng.choice([None, *players])
         rows.append((i, ts, players[0], [c for c, _ in cards[0]], [n for _, n in cards[0]], players[1], [c for c, _ in cards[1]], [n for _, n in cards[1]], winner))
-        want.append(python_identity("ranked", "src", ts, list(zip(players, cards, strict=True)), winner))
+        want.append(python_identity('ran"ked\\x\t', "src", ts, list(zip(players, cards, strict=True)), winner))
     df = spark.createDataFrame(rows, "i int, ts timestamp, pa string, ka array<string>, la array<int>, pb string, kb array<string>, lb array<int>, w string")
-    body = S.event_body(F.lit("ranked"), F.lit("src"), F.col("ts"), (F.col("pa"), F.col("ka"), F.col("la")), (F.col("pb"), F.col("kb"), F.col("lb")))
+    body = S.event_body(F.lit('ran"ked\\x\t'), F.lit("src"), F.col("ts"), (F.col("pa"), F.col("ka"), F.col("la")), (F.col("pb"), F.col("kb"), F.col("lb")))
     got = df.select("i", S.event_key(body).alias("e"), S.fingerprint(body, F.col("w")).alias("f")).orderBy("i").collect()
     assert [(r.e, r.f) for r in got] == want
 
