@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _LOCAL: dict[str, str] = {}
 
 
@@ -66,14 +67,52 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(size.searchsorted(base + limit, "right")))
             yield batch.slice(start, stop - start)
             base, start = int(size[stop - 1]), stop
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory of a Python worker back to the machine: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_KEPT: dict = {}
+
+
+def forget() -> None:
+    if _KEPT:
+        _KEPT.clear()
+        trim()
+
+
+def kept(key, make: Callable):
+    """What a Python worker keeps from task to task, one thing at a time: another operator's goes."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound batches of the Parquet reader, and the bytes of those between the JVM and Python, for long texts.
+
+    By default they count thousands of rows however long. A smaller setting of the session stays.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 4 * SLICE_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", 512)):
+        if int(str(conf.get(key, str(most + 1))).rstrip("bB")) > most:
+            conf.set(key, str(most))
+    return df
 
 
 def map_slices(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for piece in slices(batches, column):
             yield fn(piece)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 BROADCAST_ROWS = 400_000

@@ -40,6 +40,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n + 1 powers of the multiplier and of its inverse."""
+    return _powers((n >> 18) + 1 << 18)
+
+
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null has no bytes."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
@@ -70,8 +75,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """64-bit hashes of lower-cased words."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(16, int(len(raw)).bit_length())
-    up, down = _powers(size)
+    up, down = powers(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_TABLE[raw] * up[: len(raw)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import map_slices, materialize, slices, without
+from ._spark import map_slices, materialize, slices, small_batches, without
 from ._text import U, WORDLIKE, _weights, buffer, mix, word_hashes, word_spans
 
 BLOCK_BYTES = 16 << 20
@@ -146,7 +146,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, lea
     Repeated rows each get their row, other columns are ignored, an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    state = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))

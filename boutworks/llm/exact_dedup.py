@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import map_slices, materialize, without
-from ._text import _BYTES, SPACED, U, _powers, buffer, mix
+from ._text import _BYTES, SPACED, U, buffer, mix, powers
 
 WINDOW = 16
 MEAN_BITS = 11
@@ -44,7 +44,7 @@ def cut_points(raw: np.ndarray) -> np.ndarray:
     """Positions after which a chunk may end, by the 16 bytes before them."""
     if len(raw) < WINDOW:
         return np.zeros(0, np.int64)
-    up, down = _powers(1 << max(16, int(len(raw)).bit_length()))
+    up, down = powers(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTES[raw] * up[: len(raw)], out=sums[1:])
     rolled = (sums[WINDOW:] - sums[:-WINDOW]) * down[: len(raw) - WINDOW + 1]

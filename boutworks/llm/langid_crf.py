@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import slices
+from ._spark import kept, slices, small_batches
 from ._text import LOWER, WORDLIKE, U, buffer, mix, word_hashes, word_spans
 
 #: Training documents a language, and the most characters of each that training reads.
@@ -169,7 +169,7 @@ def fit(texts: list[str], languages: list[str], seed: int = 5) -> Field:
 class Labeller:
     """A field with the emissions of the words seen so far."""
 
-    KEPT = 1_000_000
+    KEPT = 500_000
 
     def __init__(self, field: Field) -> None:
         self.field = field
@@ -266,10 +266,10 @@ def language_id(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     field = docs.sparkSession.sparkContext.broadcast(fit(*training_rows(docs, sample_rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(field.value)
+        labeller = kept(("language", hash(field.value.weights.tobytes()), field.value.labels), lambda: Labeller(field.value))
         for piece in slices(batches, "text"):
             names, score, others = labeller.documents(piece.column("text"))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(others, pa.int64())], names=["doc_id", "lang_pred", "score", "n_other"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_other long")
+    out = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_other long")
     return out.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)").alias("held_out"), "lang_pred", "score", "n_other")

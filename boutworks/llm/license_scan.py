@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import map_slices, slices
+from ._spark import map_slices, slices, small_batches
 from ._text import WORDLIKE, buffer, word_hashes, word_spans
 
 #: Phrases and their labels, from the contract.
@@ -124,6 +124,7 @@ def license_scan(docs: DataFrame, containment: float = 0.8, templates: tuple[tup
     gives an empty one, other columns are ignored.
     """
     spark = docs.sparkSession
+    docs = small_batches(docs)
     table = Templates(templates)
     table.order(_counted(docs, spark.sparkContext.broadcast(Templates(templates))), containment)
     phrases = [(_hashes(p), label) for p, label in PHRASES.items()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import map_slices, materialize, release, shuffle_partitions, slices, without
+from ._spark import kept, map_slices, materialize, release, shuffle_partitions, slices, small_batches, without
 from ._text import U, mix, shingle_sets, signature
 from .components import connected_components
 
@@ -83,6 +83,7 @@ def _columns(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("jaccard", dict)
         for piece in slices(batches, "text"):
             sets, _ = shingle_sets(piece.column("text"), k)
             part, sigs, seen = [], [], set()
@@ -308,7 +309,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, threshold: Fract
     """
     spark = docs.sparkSession
     bounds = Bounds(Fraction(threshold))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     partitions = shuffle_partitions(spark)
     told = materialize(_described(docs, shingle_words), "jaccard-docs")
     shared = _shared_columns(_columns(docs, shingle_words, 2 * partitions), 2 * partitions, partitions)

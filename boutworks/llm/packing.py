@@ -17,10 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialize, slices
+from ._spark import materialize, slices, small_batches
 from .tokenize import tokenizer
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _PIECES = "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -77,7 +77,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int) -> Data
                 rows += [(part, doc_id, s - a, min(size, b - s), zlib.crc32(ids[s : min(s + size, b)]), b - a) for s in range(a, b, size)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 5), strict=True)], names=["part", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
+    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, _PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import slices
+from ._spark import kept, slices, small_batches
 
 #: Kinds in the order of the contract, then this method's.
 KINDS = ("assign", "access", "hex", "random")
@@ -61,15 +61,8 @@ class Efficiency:
         return len(s) / max(1, len(self.encoding.encode_ordinary(s)))
 
 
-_LOADED: dict[int, Efficiency] = {}
-
-
 def _efficiency(ranks: str, pattern: str) -> Efficiency:
-    key = hash((ranks, pattern))
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Efficiency(ranks, pattern)
-    return _LOADED[key]
+    return kept(("efficiency", hash((ranks, pattern))), lambda: Efficiency(ranks, pattern))
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], efficiency: Efficiency, ratio: float) -> list[tuple[int, int, int]]:
@@ -108,4 +101,4 @@ def secret_scan(docs: DataFrame, vocabulary_path: str, pattern: str, ratio: floa
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds_)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

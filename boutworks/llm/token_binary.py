@@ -17,10 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import materialize, release, scratch_path, shuffle_partitions, slices
+from ._spark import materialize, release, scratch_path, shuffle_partitions, slices, small_batches
 from .tokenize import tokenizer
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of the four values of each control byte.
 LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 
@@ -75,7 +75,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([base], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc_ids, sizes.astype("<u4"), ids.astype(tok.dtype)))], names=["part", "base", "doc_ids", "sizes", "ids"])
             base += len(ids)
 
-    raw = materialize(ordered.mapInArrow(tokens, _RAW), "token-ids")
+    raw = materialize(small_batches(ordered).mapInArrow(tokens, _RAW), "token-ids")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(content.value)

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ._spark import kept
+
 WORDS_KEPT = 500_000
 PIECES_KEPT = 400_000
 #: Of these characters lower-casing, normalisation and splitting are the same here and in the library.
@@ -21,8 +23,6 @@ _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø
 #: The normaliser and splitter for which the shortcut for plain words holds.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-_LOADED: dict[int, WordTokenizer] = {}
-
 
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
@@ -98,8 +98,4 @@ class WordTokenizer:
 
 def tokenizer(content: str) -> WordTokenizer:
     """The worker's tokenizer for this file, loaded once."""
-    key = hash(content)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordTokenizer(content)
-    return _LOADED[key]
+    return kept(("tokenizer", hash(content)), lambda: WordTokenizer(content))

@@ -24,18 +24,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialize, slices, without
+from ._spark import kept, materialize, slices, small_batches, without
 from ._text import LOWER, WORDLIKE, buffer, word_hashes, word_spans
 
 #: Labelled documents of each class that a model is fitted on, and the most characters of each that training reads.
-SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 20_000
+SAMPLE_ROWS = 2000
+SAMPLE_CHARS = 6000
 BASE_WORDS, TAIL_BYTES = 1200, 768
 DISTANCES = (5, 7, 9)
 LEFT, RIGHT = b"\x02\x03\x05", b"\x06\x07\x08"
 #: Ends each window and opens both dictionaries: without it a short window would be stored as it is.
 FILL = bytes(range(14, 32))
-WORDS_KEPT = 1_500_000
+WORDS_KEPT = 500_000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -162,12 +162,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     model = docs.sparkSession.sparkContext.broadcast(fit(*training_rows(docs, labels, sample_rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(model.value)
+        windows = kept(("toxicity", hash(model.value)), lambda: Windows(model.value))
         for piece in slices(batches, "text"):
             score = model.value.score(windows.features(piece.column("text")))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    out = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
     held = F.expr("coalesce(crc32(cast(doc_id as string)) % 3 = 1, false)")
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
 
