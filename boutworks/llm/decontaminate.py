@@ -155,12 +155,12 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, lea
         index = Windows([r.item_id for r in rows], [r.text for r in rows], window)
         frequency = _counted(docs, spark.sparkContext.broadcast(index)) if len(index.vocabulary) else np.zeros(0, np.int64)
         index.index(frequency)
-        state = _pass(state, spark.sparkContext.broadcast(index), first=block == 0, last=block == blocks - 1)
-    return _told(state, least_share)
+        state = _pass(state, spark.sparkContext.broadcast(index), first=block == 0, last=block == blocks - 1, least_share=least_share)
+    return state
 
 
-def _pass(state: DataFrame, told, first: bool, last: bool) -> DataFrame:
-    """Add a block's hits to each row; the text goes on to the next block."""
+def _pass(state: DataFrame, told, first: bool, last: bool, least_share: int) -> DataFrame:
+    """Add a block's hits to each row. The text goes on to the next block; the last one gives the result."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         index = told.value
@@ -181,31 +181,30 @@ def _pass(state: DataFrame, told, first: bool, last: bool) -> DataFrame:
             spans.append(old_spans + (np.stack([start[a:b], end[a:b]], 1) - before[i]).astype("<i8").tobytes())
             names = {x for w in np.unique(which[a:b]).tolist() for x in index.items[w]}
             items.append(b"\n".join(x for x in (old_items, *(n.encode() for n in sorted(names))) if x))
+        names = ["doc_id", "n_words", "spans", "items"]
         out = [piece.column("doc_id"), pa.array(np.diff(before), pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.binary())]
-        names_ = ["doc_id", "n_words", "spans", "items"]
-        if not last:
-            out.append(piece.column("text"))
-            names_.append("text")
-        return pa.RecordBatch.from_arrays(out, names=names_)
+        if last:
+            return _verdicts(pa.RecordBatch.from_arrays(out, names=names), least_share)
+        return pa.RecordBatch.from_arrays([*out, piece.column("text")], names=[*names, "text"])
 
-    return map_slices(state, "text", run, _STATE + ("" if last else ", text string"))
+    return map_slices(state, "text", run, _RESULT if last else f"{_STATE}, text string")
 
 
-def _told(state: DataFrame, least_share: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, n, spans, items in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "spans", "items")), strict=True):
-                hit, at = 0, 0
-                for a, b in sorted(map(tuple, np.frombuffer(spans, "<i8").reshape(-1, 2).tolist())):
-                    hit += max(0, b - max(a, at))
-                    at = max(at, b)
-                names = sorted({x.decode() for x in items.split(b"\n") if x})
-                rows.append((doc_id, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and least_share * hit >= n, names))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
-
-    return state.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+_RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+
+
+def _verdicts(batch: pa.RecordBatch, least_share: int) -> pa.RecordBatch:
+    """The result's rows from each document's hits."""
+    rows = []
+    for doc_id, n, spans, items in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "spans", "items")), strict=True):
+        hit, at = 0, 0
+        for a, b in sorted(map(tuple, np.frombuffer(spans, "<i8").reshape(-1, 2).tolist())):
+            hit += max(0, b - max(a, at))
+            at = max(at, b)
+        names = sorted({x.decode() for x in items.split(b"\n") if x})
+        rows.append((doc_id, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and least_share * hit >= n, names))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_share: int = 20) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ._spark import materialize, slices, small_batches
 from .tokenize import tokenizer
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _PIECES = "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
