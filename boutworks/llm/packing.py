@@ -40,8 +40,10 @@ def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[int, tupl
                 open_[room].append((count - used, pattern))
             open_[room - length].append((used, (*pattern, length)))
             left -= used
-        if left:
-            open_[size - length].append((left, (length,)))
+        each = size // length  # a new pack is the only one that fits, so the next pieces of this length join it
+        for count, pieces_ in ((left // each, each), (1, left % each)):
+            if count and pieces_:
+                open_[size - length * pieces_].append((count, (length,) * pieces_))
     return [x for packs in open_ for x in packs]
 
 

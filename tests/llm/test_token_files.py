@@ -85,6 +85,14 @@ def test_pack_histogram_places_each_length_as_often():
     assert placed == Counter(histogram)
 
 
+def test_pack_histogram_puts_copies_of_one_length_together():
+    assert sum(count for count, _ in packing.pack_histogram({100: 1000}, 2048)) == 50
+    rest = {length: 1 for length in range(1, 2049, 7)}
+    histogram = rest | {60: 3000}
+    used = sum(length * n for length, n in histogram.items())
+    assert used / (2048 * sum(count for count, _ in packing.pack_histogram(histogram, 2048))) > 0.97
+
+
 @pytest.mark.parametrize("bits", [64, 3])
 def test_exact_groups_are_brute_force(spark, awkward, bits):
     rows = [(r[0], re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "")) for r in awkward_rows()]
