@@ -1,7 +1,7 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document. A block meets a template when it has at least `containment` of the template's distinct
-words. Words of the templates are put in one global order by their frequency in the corpus; a block that meets a
+A block is a line of a document, or a window of as many words as the template has, over line breaks. A block meets a
+template when it has at least `containment` of the template's distinct words. Words of the templates are put in one global order by their frequency in the corpus; a block that meets a
 template has one of the template's |T| - ceil(c |T|) + 1 rarest words (the prefix), at least ceil(c |T|) words (length),
 and enough words of the template from that prefix word on (position). Blocks that pass are verified word by word.
 """
@@ -57,7 +57,9 @@ class Templates:
 
     def __init__(self, templates: tuple[tuple[str, str], ...]) -> None:
         self.labels = [label for label, _ in templates]
-        self.sets = [np.unique(_hashes(text)) for _, text in templates]
+        found = [_hashes(text) for _, text in templates]
+        self.words = [len(w) for w in found]
+        self.sets = [np.unique(w) for w in found]
         self.vocabulary = np.unique(np.concatenate(self.sets))
 
     def order(self, frequency: np.ndarray, containment: float) -> None:
@@ -72,6 +74,9 @@ class Templates:
                 self.by_word.setdefault(word, []).append((t, place))
         self.prefix = np.zeros(len(rank), bool)
         self.prefix[list(self.by_word)] = True
+        self.member = np.zeros((len(self.ranked), len(rank)), bool)
+        for t, s in enumerate(self.ranked):
+            self.member[t, s] = True
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of template words in `words`, and their ranks."""
@@ -97,6 +102,32 @@ class Templates:
                     out[t] = both / size
         return out
 
+    def windows(self, at: np.ndarray, ranks: np.ndarray, ends: np.ndarray, line: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(template, first word, containment) of windows over line breaks that meet a template, the best of those that overlap.
+
+        A window that meets can start at a word of the template, and holds at least `least` of them; `ends` is where the
+        row of each word ends.
+        """
+        for t, (size, least) in enumerate(zip(self.words, self.least, strict=True)):
+            own = np.flatnonzero(self.member[t][ranks])
+            if len(own) < least:
+                continue
+            q = at[own]
+            stop = np.searchsorted(q, np.minimum(q + size, ends[own]))
+            tight = np.flatnonzero(stop - np.arange(len(q)) >= least)
+            kept: tuple[int, float] | None = None
+            for i in tight[line[own[tight]] != line[own[stop[tight] - 1]]].tolist():
+                share = len(np.unique(ranks[own[i : stop[i]]])) / len(self.ranked[t])
+                if share * len(self.ranked[t]) < least - 1e-9:
+                    continue
+                if kept and q[i] >= kept[0] + size:
+                    yield t, *kept
+                    kept = None
+                if kept is None or share > kept[1]:
+                    kept = int(q[i]), share
+            if kept:
+                yield t, *kept
+
 
 def _counted(docs: DataFrame, told) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +149,9 @@ def license_scan(docs: DataFrame, containment: float = 0.8, templates: tuple[tup
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     n_base counts the places where a phrase's words stand one after another; first_word and last_word are their least and
-    largest first word, from 0 (null if none). labels adds those of templates met by a line; score is 1 with a phrase,
-    else the largest containment that reached the threshold, else 0. blocks: (label, first word of the line,
-    containment). A null text counts as empty: no words, empty labels. Repeated rows each get a row, an empty table
+    largest first word, from 0 (null if none). labels adds those of templates met by a line or a window over line breaks;
+    score is 1 with a phrase, else the largest containment that reached the threshold, else 0. blocks: (label, first word
+    of the line or window, containment). A null text counts as empty: no words, empty labels. Repeated rows each get a row, an empty table
     gives an empty one, other columns are ignored.
     """
     spark = docs.sparkSession
@@ -157,6 +188,9 @@ def license_scan(docs: DataFrame, containment: float = 0.8, templates: tuple[tup
                 d = int(np.searchsorted(before, at[a], "right")) - 1
                 opening = int(np.searchsorted(starts, 0 if n == 0 else breaks[n - 1] + 1)) - int(before[d])
                 blocks.setdefault(d, []).extend((table.labels[t], opening, c) for t, c in sorted(met.items()))
+        for t, n, c in table.windows(at, ranks, before[np.searchsorted(before, at, "right")], line):
+            d = int(np.searchsorted(before, n, "right")) - 1
+            blocks.setdefault(d, []).append((table.labels[t], n - int(before[d]), c))
         rows = []
         for d, doc_id in enumerate(piece.column("doc_id").to_pylist()):
             b, m = base.get(d, []), blocks.get(d, [])

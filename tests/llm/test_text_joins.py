@@ -145,6 +145,18 @@ def test_license_scan_is_brute_force(spark, awkward, small):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def test_license_scan_finds_wrapped_licenses(spark):
+    texts = {
+        1: ("mit", "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the Software)"),
+        2: ("bsd", "x\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
+        3: ("isc", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided"),
+        4: ("", "Permission is hereby granted, free of charge, to any person obtaining a copy\n" + "other " * 30 + "\nof this software and associated documentation files"),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in texts.items()] + [(5, "Permission is hereby granted, free of charge, to any person"), (6, "obtaining a copy of this software and associated documentation files")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(docs).collect()}
+    assert got == {i: (label, 1.0 if label else 0.0) for i, (label, _) in texts.items()} | {5: ("", 0.0), 6: ("", 0.0)}
+
+
 def test_secret_scan(spark, awkward):
     import public_tokenizers
 
