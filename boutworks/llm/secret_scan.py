@@ -1,9 +1,10 @@
 """Secret scans: patterns of known secrets, and a token-efficiency test for random strings.
 
 A tokenizer's merges come from ordinary text, so a random string has few characters a token. Strings of letters, digits
-and a few signs that mix letters and digits are encoded with a tiktoken vocabulary; below `ratio` characters a token they
-are secrets, unless they are known digests (hexadecimal of a digest's length), UUIDs, or identifiers and paths made of
-words.
+and a few signs are encoded with a tiktoken vocabulary; below `ratio` characters a token they are secrets, unless each of
+their parts between signs is ordinary: a number, a known digest (hexadecimal of a digest's length), a UUID, one token, or
+of at least `ratio` characters a token itself. In a string above `ratio`, stretches of parts that are not ordinary are
+tried alone, so that words glued to a random string do not hide it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from pathlib import Path
 
 import pyarrow as pa
@@ -26,11 +28,14 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 #: A match of these is a whole run, so its least length can stand in the pattern.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_STRING = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 16
+_STRING = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _DIGEST_SIZES = {32, 40, 48, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_PART = re.compile(r"[A-Za-z]+|[0-9]+")
+_PART = re.compile(rf"(?<![A-Za-z0-9]){_UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
+#: Pieces for the tokenizer, whose time grows faster than a string.
+_ENCODED = 1000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -40,14 +45,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(*m.span(), 2) for m in _HEX.finditer(text)]
 
 
-def _known(s: str) -> bool:
-    """Digests, UUIDs, and identifiers or paths whose parts are words or numbers of some length."""
-    if len(s) in _DIGEST_SIZES and _DIGEST.fullmatch(s) or _UUID.fullmatch(s):
-        return True
-    parts = _PART.findall(s)
-    return sum(len(p) for p in parts) / max(1, len(parts)) >= 5
-
-
 class Efficiency:
     """Characters a token under a tiktoken vocabulary."""
 
@@ -58,7 +55,16 @@ class Efficiency:
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def ratio(self, s: str) -> float:
-        return len(s) / max(1, len(self.encoding.encode_ordinary(s)))
+        return len(s) / max(1, self.tokens(s))
+
+    def tokens(self, s: str) -> int:
+        return sum(len(self.encoding.encode_ordinary(s[i : i + _ENCODED])) for i in range(0, len(s), _ENCODED))
+
+    def ordinary(self, part: str, ratio: float) -> bool:
+        if part.isdigit() or len(part) in _DIGEST_SIZES and _DIGEST.fullmatch(part) or _UUID.fullmatch(part):
+            return True
+        n = self.tokens(part)
+        return n == 1 or len(part) >= ratio * n
 
 
 def _efficiency(ranks: str, pattern: str) -> Efficiency:
@@ -67,13 +73,20 @@ def _efficiency(ranks: str, pattern: str) -> Efficiency:
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], efficiency: Efficiency, ratio: float) -> list[tuple[int, int, int]]:
     out = []
+    free = lambda a, b: not any(x < b and a < y for x, y, _ in taken)
     for m in _STRING.finditer(text):
-        s = m.group()
-        if s.isalpha() or s.isdigit() or not any(map(str.isdigit, s)) or not any(map(str.isalpha, s)):
-            continue
         a, b = m.span()
-        if not _known(s) and not any(x < b and a < y for x, y, _ in taken) and efficiency.ratio(s) < ratio:
+        parts = [(*p.span(), efficiency.ordinary(p.group(), ratio)) for p in _PART.finditer(m.group())]
+        if all(known for *_, known in parts):
+            continue
+        if free(a, b) and efficiency.ratio(m.group()) < ratio:
             out.append((a, b, 3))
+            continue
+        for known, run in groupby(parts, key=lambda p: p[2]):
+            run = list(run)
+            x, y = a + run[0][0], a + run[-1][1]
+            if not known and y - x >= LEAST and free(x, y) and efficiency.ratio(text[x:y]) < ratio:
+                out.append((x, y, 3))
     return out
 
 

@@ -183,3 +183,24 @@ def test_secret_scan(spark, awkward):
     assert rows[0].base_sha256 == hashlib.sha256(b"assign:0:49,hex:9:49").hexdigest()
     scanned = secret_scan.secret_scan(awkward, str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
     assert scanned.count() == awkward.count()
+
+
+def test_random_strings_meet_the_ratio_test_whatever_their_letters():
+    import string
+    from pathlib import Path
+
+    import public_tokenizers
+
+    efficiency = secret_scan.Efficiency(Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_text(), public_tokenizers.PATTERN)
+    spans = lambda s: secret_scan.random_spans(s, [], efficiency, 2.0)
+    rng = random.Random(5)
+    for size in (16, 20, 24, 32, 40):
+        for letters in (string.ascii_letters + string.digits, string.ascii_letters):
+            found = sum(bool(spans("".join(rng.choices(letters, k=size)))) for _ in range(300))
+            assert found >= 290, (size, letters)
+    hidden = "Q7x2Lr9VbT4mZp0KdW8fHj3N"
+    glued = "/usr/share/applications/organization/configuration/documentation/" + hidden + "/international_information"
+    assert [glued[a:b] for a, b, _ in spans(glued)] == [hidden]
+    for known in ("/usr/share/applications/python3/organization", "some_long_identifier_name_42", "a/b/c/d/e/f/g/h/i/j", "internationalization", "2024-01-01-12-30-59-000", "commit/04dbebab91ab85687d33eeaaf9ac699e1188f962", "id=6f9619ff-8b86-d011-b42d-00c04fc964ff", "=-" * 20):
+        assert not spans(known), known
+    assert spans("x" * 70000) == []
