@@ -63,8 +63,9 @@ def serial(spark, sf_dir):
 @query("m8_deck_clusters")
 def clusters(spark, sf_dir):
     rows = oriented(spark, sf_dir)
-    fit = rows.where(F.xxhash64("fingerprint") % 10 == 0)
-    centroids = models.deck_clusters(fit, "items_a", 104, 8)
+    sides = F.explode(F.array(F.array_sort("items_a"), F.array_sort("items_b"))).alias("items")
+    decks = rows.select(sides).where(F.size("items") > 0).distinct().orderBy("items")
+    centroids = models.deck_clusters(decks, "items", 104, 64)
     told = rows.withColumn("cluster_a", counts.nearest("items_a", centroids)).withColumn("cluster_b", counts.nearest("items_b", centroids))
     return rounded(counts.cluster_wins(told))
 

@@ -151,3 +151,12 @@ def test_due_and_gaps(spark):
     old = spark.createDataFrame([("x", ["1", "2"]), ("y", ["1"]), ("z", [])], "tag string, keys array<string>")
     new = spark.createDataFrame([("x", ["2", "3"]), ("y", ["5"]), ("z", ["9"])], "tag string, keys array<string>")
     assert [r.tag for r in collector.gaps(old, new).collect()] == ["y"]
+
+
+def test_deck_clusters_fit_on_every_deck(spark, small):
+    import __spark_entry__ as entry
+    from boutworks.plans.scoring import oriented
+
+    decks = oriented(spark, small).selectExpr("explode(array(array_sort(items_a), array_sort(items_b))) as d").distinct().count()
+    found = entry.queries()["m8_deck_clusters"](spark, small)
+    assert found.select("cluster").distinct().count() == min(64, decks)
