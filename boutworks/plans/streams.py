@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -55,6 +56,15 @@ def gaps(spark, sf_dir):
     return collector.gaps(keys(e.where("event_id < 500")), keys(e.where("event_id >= 9900")))
 
 
+@query("t6_poll_gaps", "WITH k AS (SELECT user_id, ts::DATE AS day, list(DISTINCT event_type) AS keys FROM events GROUP BY 1, 2), p AS (SELECT *, lag(keys) OVER (PARTITION BY user_id ORDER BY day) AS old FROM k) SELECT 'u' || user_id::VARCHAR AS tag, day FROM p WHERE old IS NOT NULL AND NOT list_has_any(old, keys)")
+def poll_gaps(spark, sf_dir):
+    """Each day's log of a user against that user's log before it, over all events."""
+    polls = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("event_type").alias("keys"))
+    polls = polls.withColumn("old", F.lag("keys").over(Window.partitionBy("user_id").orderBy("day")))
+    tag = F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("tag"), "day").alias("tag")
+    return collector.gaps(polls.where("old IS NOT NULL").select(tag, F.col("old").alias("keys")), polls.select(tag, "keys")).select("tag.tag", "tag.day")
+
+
 @query("m5_serial_updates")
 def serial(spark, sf_dir):
     return rounded(models.serial_updates(oriented(spark, sf_dir), ("ts", "fingerprint", "member", "row_no"), 0.05))

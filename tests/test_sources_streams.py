@@ -160,3 +160,12 @@ def test_deck_clusters_fit_on_every_deck(spark, small):
     decks = oriented(spark, small).selectExpr("explode(array(array_sort(items_a), array_sort(items_b))) as d").distinct().count()
     found = entry.queries()["m8_deck_clusters"](spark, small)
     assert found.select("cluster").distinct().count() == min(64, decks)
+
+
+def test_poll_gaps_are_found_among_all_events(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(2000, 1, "2026-01-01", "a"), (2001, 1, "2026-01-02", "b"), (2002, 1, "2026-01-05", "b"), (2003, 2, "2026-01-01", "a"), (2004, 2, "2026-01-03", "a"), (5000, 2, "2026-01-04", "c")]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string").selectExpr("event_id", "user_id", "ts::timestamp_ntz as ts", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = entry.queries()["t6_poll_gaps"](spark, str(tmp_path)).collect()
+    assert sorted((r.tag, str(r.day)) for r in got) == [("u1", "2026-01-02"), ("u2", "2026-01-04")]
