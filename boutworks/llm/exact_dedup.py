@@ -90,8 +90,9 @@ def exact_groups(docs: DataFrame, fingerprint_bits: int = 64) -> DataFrame:
     """One row per row of docs: (doc_id, keep_id, group_size, kept, text_sha256).
 
     Texts are equal when identical after white-space runs become one space; a null is empty. The smallest doc_id of
-    equal texts stays. Rows that repeat a doc_id and text count each, and the first of them alone is kept. Empty tables
-    give empty ones; other columns are ignored. Groups are gathered by salted partial lists of ids, so no task holds
+    equal texts stays. Rows that repeat a doc_id and text count each, and the first of them alone is kept. Rows without a
+    doc_id count in their group and have a null kept, as in the SQL; keep_id is null if no row of a group has one.
+    Empty tables give empty ones; other columns are ignored. Groups are gathered by salted partial lists of ids, so no task holds
     more than a share of a group.
     """
     found = materialize(recipes(docs, fingerprint_bits), "dedup-recipes")
@@ -103,10 +104,12 @@ def exact_groups(docs: DataFrame, fingerprint_bits: int = 64) -> DataFrame:
     part = keyed.groupBy("recipe", "text_sha256", "salt").agg(F.collect_list("doc_id").alias("ids"), F.min("doc_id").alias("lo"), F.count("*").alias("n"))
     group = Window.partitionBy("recipe", "text_sha256")
     # Counted before the lists are opened, in a step of its own: a window beside a generator would run after it.
-    counted = part.select("text_sha256", "ids", F.min("lo").over(group).alias("keep_id"), F.sum("n").over(group).alias("group_size"))
-    out = counted.select("text_sha256", "keep_id", "group_size", F.posexplode(F.array_sort("ids")).alias("pos", "doc_id"))
+    # Lists have no nulls; rows without a doc_id come after the others.
+    ids = F.concat(F.array_sort("ids"), F.array_repeat(F.lit(None).cast("long"), (F.col("n") - F.size("ids")).cast("int"))).alias("ids")
+    counted = part.select("text_sha256", ids, F.min("lo").over(group).alias("keep_id"), F.sum("n").over(group).alias("group_size"))
+    out = counted.select("text_sha256", "keep_id", "group_size", F.posexplode("ids").alias("pos", "doc_id"))
     # A repeated row has its doc_id at two places of one salted list; the first stays.
-    return out.select("doc_id", "keep_id", "group_size", ((F.col("doc_id") == F.col("keep_id")) & (F.col("pos") == 0)).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.when(F.col("doc_id").isNotNull(), (F.col("doc_id") == F.col("keep_id")) & (F.col("pos") == 0)).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

@@ -103,6 +103,12 @@ def test_exact_groups_are_brute_force(spark, awkward, bits):
     assert sorted(tuple(r) for r in exact_groups(awkward, bits).collect()) == want
 
 
+def test_exact_groups_keep_rows_without_a_doc_id(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a  b"), (7, "a b"), (8, "a b"), (None, "c")], "doc_id long, text string")
+    rows = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_groups(docs).collect()]
+    assert sorted(rows, key=repr) == sorted([(None, 7, 4, None), (None, 7, 4, None), (7, 7, 4, True), (8, 7, 4, False), (None, None, 1, None)], key=repr)
+
+
 def test_exact_groups_of_many_copies(spark):
     """Hundreds of copies, so that several share a salted list."""
     docs = spark.range(700).selectExpr("id as doc_id", "case when id % 7 = 0 then 'odd ' || id else 'the  same\\ntext' end as text")
