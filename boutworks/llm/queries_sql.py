@@ -57,15 +57,20 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN ratio >= round(bound
 """
 
 _PHRASE_ROWS = ", ".join(f"({list(p.split())!r}, '{label}')" for p, label in PHRASES.items())
-_TEMPLATE_ROWS = ", ".join(f"({sorted(set(t.split()))!r}, '{label}')" for label, t in TEMPLATES)
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', {text.split()!r}, {name.split()!r}::VARCHAR[])" for i, (label, text, name) in enumerate(TEMPLATES))
 
 OP7 = f"""
-WITH d AS (SELECT doc_id, text, regexp_extract_all({_FOLD}, {_WORD}) AS w FROM documents),
-ph(p, label) AS (VALUES {_PHRASE_ROWS}), tp(t, label) AS (VALUES {_TEMPLATE_ROWS}),
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, {_WORD}) AS w FROM documents),
+ph(p, label) AS (VALUES {_PHRASE_ROWS}), tp(tid, label, t, name) AS (VALUES {_TEMPLATE_ROWS}),
 spot AS (SELECT doc_id, i - 1 AS i, label FROM (SELECT doc_id, w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS i FROM d, ph) WHERE w[i:i + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM spot GROUP BY 1),
-ln AS (SELECT doc_id, list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD})) AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
-met AS (SELECT doc_id, label, len(list_intersect(s, t)) / len(t) AS c FROM ln, tp WHERE len(list_intersect(s, t)) >= ceil(0.8 * len(t) - 1e-9)),
+wd AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+every AS (SELECT doc_id, tid, p, word, t FROM wd JOIN (SELECT DISTINCT tid, t, unnest(t) AS word FROM tp) USING (word)),
+hit AS (SELECT doc_id, tid, p, word, len(t) AS n FROM every SEMI JOIN (SELECT doc_id, tid FROM every GROUP BY doc_id, tid, t HAVING count(DISTINCT word) >= 0.8 * list_unique(t) - 1e-9) USING (doc_id, tid)),
+blk AS (SELECT doc_id, tid, p, n, list_unique(list(word) OVER (PARTITION BY doc_id, tid ORDER BY p RANGE BETWEEN CURRENT ROW AND n - 1 FOLLOWING)) AS c FROM hit),
+met AS (SELECT doc_id, label, c / list_unique(t) AS c FROM blk JOIN tp USING (tid) JOIN d USING (doc_id)
+  WHERE c >= ceil(0.8 * list_unique(t) - 1e-9)
+    AND (len(name) = 0 OR len(list_filter(range(p, p + n - len(name) + 1), lambda i: w[i:i + len(name) - 1] = name)) > 0)),
 lab AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS score FROM (SELECT doc_id, label, 1.0::DOUBLE AS c FROM spot UNION ALL SELECT doc_id, label, c FROM met) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN lab USING (doc_id)

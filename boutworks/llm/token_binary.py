@@ -1,7 +1,7 @@
 """Token ids in files: frequency-ranked ids, byte-aligned lengths in separate control bytes.
 
-A file row is a block of documents in ascending doc_id order: `start` (ids of all documents before it), the documents'
-ids and lengths, `control` (two bits a value, four values a byte: its bytes less one) and `data` (the little-endian bytes
+Files, and blocks within a file, are in ascending doc_id order, rows without a doc_id first. A file row is a block of
+documents: `start` (ids of all documents before it), the documents' doc_ids and lengths, `control` (two bits a value, four values a byte: its bytes less one) and `data` (the little-endian bytes
 of each value's frequency rank). A block is decoded with one table lookup a control byte. `vocabulary` maps ranks to ids.
 """
 
@@ -50,20 +50,22 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-_RAW = "part int, base long, doc_ids binary, sizes binary, ids binary"
-_FILE = "part int, start long, doc_ids binary, sizes binary, control binary, data binary"
+_RAW = "part int, base long, doc_ids array<long>, sizes binary, ids binary"
+_FILE = "start long, doc_ids array<long>, sizes binary, control binary, data binary"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
     """Tokenize whole texts and write `path`/blocks and `path`/vocabulary, both Parquet, by Spark's own writers.
 
-    Null texts count as empty, so a document has its end id at least. Rows with equal doc_id stay apart, in any order.
-    An empty table gives files without rows. Other columns of docs are ignored.
+    Null texts count as empty, so a document has its end id at least. Rows without a doc_id come first and keep null.
+    Rows with equal doc_id, or none, stay apart; a hash of the text orders them. An empty table gives files without rows.
+    Other columns of docs are ignored.
     """
     spark = docs.sparkSession
     content = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())
     partitions = shuffle_partitions(spark)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(partitions, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, base = tokenizer(content.value), TaskContext.get().partitionId(), 0
@@ -71,8 +73,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             ids, off = tok.encode(piece.column("text"))
             sizes = np.diff(off) + 1
             ids = np.insert(ids, off[1:], end_id)
-            doc_ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([base], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc_ids, sizes.astype("<u4"), ids.astype(tok.dtype)))], names=["part", "base", "doc_ids", "sizes", "ids"])
+            doc_ids = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece.column("doc_id"))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([base], pa.int64()), doc_ids, *(pa.array([x.tobytes()], pa.binary()) for x in (sizes.astype("<u4"), ids.astype(tok.dtype)))], names=["part", "base", "doc_ids", "sizes", "ids"])
             base += len(ids)
 
     raw = materialize(small_batches(ordered).mapInArrow(tokens, _RAW), "token-ids")
@@ -96,41 +98,40 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(by_rank)], "rank int, id int").coalesce(1).write.parquet(f"{path}/vocabulary")
 
     # One number for each partition of the range exchange.
-    totals = {r.part: r.n for r in raw.select("part", (F.length("sizes") / 4).alias("docs"), F.col("base"), (F.length("ids")).alias("bytes")).groupBy("part").agg(F.max(F.struct("base", "bytes")).alias("m")).select("part", F.col("m.base").alias("base"), F.col("m.bytes").alias("n")).collect()}
-    bases = {r.part: r.base for r in raw.groupBy("part").agg(F.max("base").alias("base")).collect()}
+    width = tokenizer(content.value).dtype.itemsize
+    sizes = raw.groupBy("part").agg(F.sum(F.length("ids")).alias("n")).collect()
     before, at = {}, 0
+    for r in sorted(sizes, key=lambda r: r.part):
+        before[r.part] = at
+        at += r.n // width
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(content.value)
         for batch in batches:
-            for row in batch.to_pylist():
-                control, data = encode_block(ranks.value[np.frombuffer(row["ids"], tok.dtype)])
-                yield pa.RecordBatch.from_arrays([pa.array([row["part"]], pa.int32()), pa.array([row["base"] + before[row["part"]]], pa.int64()), *(pa.array([x], pa.binary()) for x in (row["doc_ids"], row["sizes"], control, data))], names=["part", "start", "doc_ids", "sizes", "control", "data"])
-
-    width = 2 if _width(content.value) <= 1 << 16 else 4
-    for part in sorted(bases):
-        before[part] = at
-        at += bases[part] + totals[part] // width
-    raw.mapInArrow(encoded, _FILE).write.parquet(f"{path}/blocks")
+            for i in range(batch.num_rows):
+                part, base, ids = (batch.column(c)[i].as_py() for c in ("part", "base", "ids"))
+                control, data = encode_block(ranks.value[np.frombuffer(ids, tok.dtype)])
+                yield pa.RecordBatch.from_arrays([pa.array([base + before[part]], pa.int64()), *(batch.column(c).slice(i, 1) for c in ("doc_ids", "sizes")), *(pa.array([x], pa.binary()) for x in (control, data))], names=["start", "doc_ids", "sizes", "control", "data"])
+
+    # Tables are read in any order, so that blocks are put in theirs once more, as bytes.
+    blocks = raw.repartitionByRange(partitions, "part", "base").sortWithinPartitions("part", "base")
+    blocks.mapInArrow(encoded, _FILE).write.parquet(f"{path}/blocks")
     release(raw)
 
 
-def _width(content: str) -> int:
-    return tokenizer(content).size
-
-
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the files."""
     vocabulary = spark.sparkContext.broadcast(np.array([r.id for r in spark.read.parquet(f"{path}/vocabulary").orderBy("rank").collect()], "<u4"))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
-                ids = vocabulary.value[decode_block(row["control"], row["data"], int(sizes.sum()))]
+            for i in range(batch.num_rows):
+                start, own, control, data = (batch.column(c)[i].as_py() for c in ("start", "sizes", "control", "data"))
+                sizes = np.frombuffer(own, "<u4").astype(np.int64)
+                ids = vocabulary.value[decode_block(control, data, int(sizes.sum()))]
                 ends = np.cumsum(sizes)
                 crc = [zlib.crc32(ids[b - n : b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["doc_ids"], "<i8")), pa.array(row["start"] + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids").slice(i, 1).flatten(), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return spark.read.parquet(f"{path}/blocks").mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -122,12 +122,12 @@ def brute_license(text):
     labels = {x for _, x in places}
     best = 0.0
     more = set(labels)
-    for line in (text or "").split("\n"):
-        have = set(WORD.findall(line.translate(LOW)))
-        for label, template in licenses.TEMPLATES:
-            t = set(template.split())
-            share = len(have & t) / len(t)
-            if share >= 0.8:
+    for label, template, name in licenses.TEMPLATES:
+        t, n = template.split(), name.split()
+        for s in range(max(1, len(w) - len(t) + 1)):
+            block = w[s : s + len(t)]
+            share = len(set(block) & set(t)) / len(set(t))
+            if share >= 0.8 and any(block[i : i + len(n)] == n for i in range(len(block) - len(n) + 1)):
                 more.add(label)
                 best = max(best, share)
     at = [s for s, _ in places]
@@ -145,6 +145,26 @@ def test_license_scan_is_brute_force(spark, awkward, small):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def test_license_scan_tells_licenses_apart(spark):
+    texts = {
+        "This work is licensed under the GNU General Public License version 3": "gpl",
+        "This work is licensed under the GNU Affero General Public License version 3": "agpl",
+        "Licensed under the GNU Lesser General Public License, version 2.1": "lgpl",
+        "Licensed under CC BY 4.0": "cc-by",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",  # the phrase of the contract stands in it
+        "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa",
+        "Released under the BSD license": "",
+        "we released it under pressure and the driver lost the license": "",
+        "Released under the Apache License": "apache",
+        "a b released under the terms of the MIT License": "mit",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "Released under the MIT License")], "doc_id int, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_scan(docs.union(docs)).collect()}
+    assert got == dict(enumerate(texts.values())) | {None: "mit"}
+    for label, text, name in licenses.TEMPLATES:
+        assert f" {name} " in f" {text} " or not name, label
+
+
 def test_license_scan_finds_wrapped_licenses(spark):
     texts = {
         1: ("mit", "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the Software)"),
