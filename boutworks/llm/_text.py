@@ -15,8 +15,6 @@ LOWER = _LOWER.astype(np.uint8)
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Longer words are hashed in one go.
 _LONG = 1 << 12
-#: Bits that names of shingle sets lack of 64; tests raise it, so that names clash.
-NAME_SHIFT = 0
 
 #: `[^\x20\x09-\x0D]+` and `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z, by byte.
 SPACED = np.ones(256, bool)
@@ -129,12 +127,12 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[list[np.ndarray], np.ndarray
     return sets, counts
 
 
-def signature(shingles: np.ndarray, taken: frozenset = frozenset()) -> tuple[int, int]:
-    """A signed 64-bit name of a shingle set that is none of `taken`, and 64 bits that check it."""
+def signature(shingles: np.ndarray, bits: int = 64, taken: frozenset = frozenset()) -> tuple[int, int]:
+    """A signed name of a shingle set that is none of `taken`, and 64 bits that check it."""
     data, turn = shingles.tobytes(), 0
     while True:
         told = hashlib.blake2b(data, digest_size=16, salt=turn.to_bytes(4, "little")).digest()
-        name = int.from_bytes(told[:8], "little", signed=True) >> NAME_SHIFT
+        name = int.from_bytes(told[:8], "little", signed=True) >> 64 - bits
         if name not in taken:
             return name, int.from_bytes(told[8:], "little", signed=True)
         turn += 1

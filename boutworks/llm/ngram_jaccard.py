@@ -7,9 +7,13 @@ rarest. Documents that meet there are multiplied in blocks of rows, which accumu
 the bound that their sizes give are dropped.
 
 Copies (equal shingle sets) are one row. Groups of near copies are joined first within small blocks of rows with the same
-min-hash. After that a block holds rows of a column that are not in the column's largest class against rows of that
-column, and gives one link for each pair of a row and a class; so a group of near copies never makes all its pairs.
-Overlaps are counted exactly, hence no link between different texts is lost.
+min-hash. After that only columns whose rows are in several classes count. Small ones are dealt to blocks of some hundred
+rows, and each block is multiplied whole; of a large column a block holds rows that are not in its largest class against
+rows of that column, and gives one link for each pair of a row and a class; so a group of near copies never makes all its
+pairs. Overlaps are counted exactly, hence no link between different texts is lost.
+
+Rows are named by 64 bits of their set; another 64 are compared over the whole table, and sets that share a name get
+others. Shingles are compared by 64 bits. The number of partitions grows with the number of the matrix's entries.
 """
 
 from __future__ import annotations
@@ -23,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import kept, map_slices, materialize, release, shuffle_partitions, slices, small_batches, without
+from ._spark import first_of_groups, kept, map_slices, materialize, release, shuffle_partitions, slices, small_batches
 from ._text import U, mix, shingle_sets, signature
 from .components import connected_components
 
 BLOCK_ROWS = 192
-#: Columns with at most so many rows make their pairs.
-PAIR_ROWS = 8
+#: Groups of at most so many rows of one min-hash are left to the columns.
+FEW_ROWS = 8
+#: Entries of the matrix for each partition of its two exchanges, some eleven bytes each.
+PARTITION_ENTRIES = 4_000_000
 BROADCAST_ROWS = 400_000
 _BANDS = 2
 
@@ -48,14 +54,28 @@ class Bounds:
         return both * (self.num + self.den) >= self.num * (n + m)
 
 
-def _described(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, sig): one row per document."""
+def _described(docs: DataFrame, k: int, bits: int, taken: frozenset) -> DataFrame:
+    """(doc_id, n_shingles, sig, check): one row per document."""
 
     def one(piece: pa.RecordBatch) -> pa.RecordBatch:
         sets, _ = shingle_sets(piece.column("text"), k)
-        return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "sig"])
+        told = [signature(s, bits, taken) if len(s) else (None, None) for s in sets]
+        return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([t[i] for t in told], pa.int64()) for i in (0, 1))], names=["doc_id", "n_shingles", "sig", "check"])
+
+    return map_slices(docs, "text", one, "doc_id long, n_shingles long, sig long, check long")
 
-    return map_slices(docs, "text", one, "doc_id long, n_shingles long, sig long")
+
+def _named(docs: DataFrame, k: int, bits: int) -> tuple[DataFrame, frozenset]:
+    """Described documents with a name for each set, and the names that had to go because two sets had them."""
+    taken: frozenset = frozenset()
+    while True:
+        told = materialize(_described(docs, k, bits, taken), "jaccard-docs")
+        shared = told.where("sig is not null").groupBy("sig").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi")
+        more = frozenset(r.sig for r in shared.select("sig").collect())  # of n names about n * n / 2**65
+        if not more:
+            return told, taken
+        release(told)
+        taken |= more
 
 
 _LOW = U((1 << 48) - 1)
@@ -75,7 +95,7 @@ def _batch(rows: list[dict], fields: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r["bucket"] for r in rows], pa.int32()), *(pa.array([r[f] for r in rows], pa.binary()) for f in fields)], names=["bucket", *fields])
 
 
-def _columns(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+def _columns(docs: DataFrame, k: int, buckets: int, bits: int, taken: frozenset) -> DataFrame:
     """The incidence matrix in blocks of (bucket of columns, slice of documents).
 
     A column's name is its bucket and 48 bits. A block has its rows' signatures and sizes once, how many of its columns
@@ -88,7 +108,7 @@ def _columns(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             sets, _ = shingle_sets(piece.column("text"), k)
             part, sigs, seen = [], [], set()
             for s in sets:
-                if len(s) and (sig := signature(s)) not in seen:  # a copy adds nothing
+                if len(s) and (sig := signature(s, bits, taken)[0]) not in seen:  # a copy adds nothing
                     seen.add(sig)
                     part.append(s)
                     sigs.append(sig)
@@ -138,7 +158,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hs), np.repeat(np.concatenate(sigs), has), np.repeat(np.concatenate(ns), has)
 
 
-def _shared_columns(blocks: DataFrame, buckets: int, partitions: int) -> DataFrame:
+def _shared_columns(blocks: DataFrame, buckets: int) -> DataFrame:
     """Columns with two rows or more, as blocks by row signature: (bucket, sig, n, h, rows in the column)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +186,10 @@ def _shared_columns(blocks: DataFrame, buckets: int, partitions: int) -> DataFra
             bucket = ((mix(sig.view(np.uint64)) >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
             yield _batch(list(_packed(bucket, {"sig": sig, "n": n, "h": h, "df": rows})), ("sig", "n", "h", "df"))
 
-    return blocks.repartition(partitions, "bucket").mapInArrow(run, "bucket int, sig binary, n binary, h binary, df binary")
+    return blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "bucket int, sig binary, n binary, h binary, df binary")
 
 
-def _postings(shared: DataFrame, bounds: Bounds, partitions: int) -> DataFrame:
+def _postings(shared: DataFrame, bounds: Bounds, buckets: int) -> DataFrame:
     """(tok, sig, n): the rare columns of rows that can have a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +208,7 @@ def _postings(shared: DataFrame, bounds: Bounds, partitions: int) -> DataFrame:
         keep = place < np.repeat(prefix, count)
         yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(sig[keep]), pa.array(n[keep])], names=["tok", "sig", "n"])
 
-    return shared.repartition(partitions, "bucket").mapInArrow(run, "tok long, sig long, n long")
+    return shared.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "tok long, sig long, n long")
 
 
 def _block_edges(bounds: Bounds):
@@ -233,7 +253,7 @@ def _close(sets: DataFrame, bounds: Bounds) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["sig", "band", "key"])
 
     found = materialize(sets.mapInArrow(keys, "sig long, band int, key long"), "jaccard-keys")
-    groups = materialize(found.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).where(F.col("m") > PAIR_ROWS), "jaccard-groups")
+    groups = materialize(found.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).where(F.col("m") > FEW_ROWS), "jaccard-groups")
     placed = found.join(groups, ["band", "key"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
     own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     placed = placed.select("sig", "band", "key", F.explode(F.when((F.col("sig") == F.col("lo")) | (F.col("sig") == F.col("hi")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block"))
@@ -241,11 +261,21 @@ def _close(sets: DataFrame, bounds: Bounds) -> DataFrame:
 
 
 def _open(named: DataFrame) -> DataFrame:
-    """Columns whose rows are in several classes: (tok, rows m, rows beside the largest class s, that class). Of columns
-    with the same rows, one stands for all."""
-    by_class = named.groupBy("tok", "cls").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"))
-    by_tok = by_class.groupBy("tok").agg(F.sum("c").alias("m"), F.count("*").alias("classes"), F.max(F.struct("c", "cls")).alias("top"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("classes > 1")
-    return by_tok.groupBy("x", "y", "m").agg(F.min(F.struct("tok", "top")).alias("t")).select("t.tok", "m", (F.col("m") - F.col("t.top.c")).alias("s"), F.col("t.top.cls").alias("top"))
+    """Columns whose rows are in several classes: (tok, rows m, rows beside the largest class s, that class, the least row).
+    Of columns with the same rows, one stands for all."""
+    by_class = named.groupBy("tok", "cls").agg(F.count("*").alias("c"), F.min("sig").alias("lo"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"))
+    by_tok = by_class.groupBy("tok").agg(F.sum("c").alias("m"), F.count("*").alias("classes"), F.max(F.struct("c", "cls")).alias("top"), F.min("lo").alias("lo"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("classes > 1")
+    return by_tok.groupBy("x", "y", "m", "lo").agg(F.min(F.struct("tok", "top")).alias("t")).select("t.tok", "m", (F.col("m") - F.col("t.top.c")).alias("s"), F.col("t.top.cls").alias("top"), "lo")
+
+
+def _within(named: DataFrame, small: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
+    """Links within small columns: columns of one least row share blocks, of some 2 * BLOCK_ROWS rows, multiplied whole."""
+    size = 2 * BLOCK_ROWS
+    blocks = max(1, (small.agg(F.sum("m")).first()[0] or 0) // size)
+    load = small.groupBy("lo").agg(F.ceil(F.sum("m") / size).cast("int").alias("parts"))
+    block = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("lo"), F.lit(blocks))).otherwise(F.xxhash64("lo", F.pmod(F.xxhash64("tok"), F.col("parts"))))
+    placed = small.select("tok", "lo").join(load, "lo").select("tok", block.alias("block")).join(named.select("tok", "sig"), "tok").select("block", "sig").distinct()
+    return placed.join(sets, "sig").groupBy("block").applyInPandas(_block_edges(bounds), "a long, b long")
 
 
 def _across(named: DataFrame, open_: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
@@ -282,73 +312,54 @@ def _across(named: DataFrame, open_: DataFrame, sets: DataFrame, bounds: Bounds)
     return placed.groupBy("tok", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def _counted(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
-    """The pairs whose exact overlap reaches the bound."""
-    left = sets.select(F.col("sig").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("sig").alias("b"), F.col("items").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if bounds.linked(len(np.intersect1d(u, v, assume_unique=True)), len(u), len(v)):
-                    rows.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, shingle_words: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle_words: int = 5, threshold: Fraction | str = "0.8", name_bits: int = 64) -> DataFrame:
     """One row per row of docs: (doc_id, n_shingles, component_id).
 
     component_id is the smallest doc_id reachable over links of Jaccard >= threshold between the sets of distinct
-    shingles. A null or blank text has no shingles and is linked with nothing; equal texts are linked; repeated rows
-    each get their row; an empty table gives an empty one. Other columns of docs are ignored, doc_id must not be null.
-    Shingles are compared as 64-bit hashes.
+    shingles. A null or blank text has no shingles and is linked with nothing; equal texts are linked. Repeated rows each
+    get their row; so do rows without a doc_id, whose component_id is null if no row of theirs has one. An empty table
+    gives an empty one. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
     bounds = Bounds(Fraction(threshold))
     docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    partitions = shuffle_partitions(spark)
-    told = materialize(_described(docs, shingle_words), "jaccard-docs")
-    shared = _shared_columns(_columns(docs, shingle_words, 2 * partitions), 2 * partitions, partitions)
-    postings = materialize(_postings(shared, bounds, partitions), "jaccard-postings")
+    told, taken = _named(docs, shingle_words, name_bits)
+    entries = told.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), entries // PARTITION_ENTRIES)
+    shared = _shared_columns(_columns(docs, shingle_words, buckets, name_bits, taken), buckets)
+    postings = materialize(_postings(shared, bounds, buckets), "jaccard-postings")
     reps = materialize(told.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
 
     live = materialize(postings.select("sig").distinct().join(reps, "sig").select("rep", "sig"), "jaccard-live")
     few = live.count() <= BROADCAST_ROWS
-    chosen = docs.join(F.broadcast(live) if few else live, docs.doc_id == live.rep, "left_semi")
+    chosen = docs.join(F.broadcast(live) if few else live, docs.doc_id == live.rep, "left_semi").union(docs.where("doc_id is null"))
 
     def whole(piece: pa.RecordBatch) -> pa.RecordBatch:
         sets, _ = shingle_sets(piece.column("text"), shingle_words)
-        return pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "items"])
+        sets = [s for s in sets if len(s)]
+        return pa.RecordBatch.from_arrays([pa.array([signature(s, name_bits, taken)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "items"])
 
     sets = materialize(map_slices(chosen, "text", whole, "sig long, items binary").dropDuplicates(["sig"]), "jaccard-sets")
     near = materialize(_close(sets, bounds), "jaccard-near")
     label = connected_components(near, "jaccard-first")
 
-    named = materialize(postings.join(label, postings.sig == label.node, "left").select("tok", "sig", "n", F.coalesce("label", "sig").alias("cls")), "jaccard-named")
+    named = materialize(postings.join(label, postings.sig == label.node, "left").select("tok", "sig", F.coalesce("label", "sig").alias("cls")), "jaccard-named")
     open_ = materialize(_open(named), "jaccard-open")
-    few = named.join(open_.where(F.col("m") <= PAIR_ROWS).select("tok"), "tok", "left_semi")
-    x, y = few.alias("x"), few.alias("y")
-    ratio = F.col("x.n") * bounds.num <= F.col("y.n") * bounds.den
-    back = F.col("y.n") * bounds.num <= F.col("x.n") * bounds.den
-    pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.cls") < F.col("y.cls")) & ratio & back).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
-    links = _counted(materialize(pairs, "jaccard-pairs"), sets, bounds).unionByName(_across(named, open_.where(F.col("m") > PAIR_ROWS), sets, bounds))
+    links = _within(named, open_.where(F.col("m") <= BLOCK_ROWS), sets, bounds).unionByName(_across(named, open_.where(F.col("m") > BLOCK_ROWS), sets, bounds))
     edges = materialize(links.unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))), "jaccard-links")
     label = connected_components(edges, "jaccard-last")
 
     of_sig = reps.join(label, reps.sig == label.node, "left").select("sig", "rep", F.coalesce("label", "sig").alias("cls"))
     of_sig = materialize(of_sig, "jaccard-classes")
-    smallest = of_sig.groupBy("cls").agg(F.min("rep").alias("component_id"))
-    smallest = materialize(smallest, "jaccard-smallest")
+    smallest = materialize(of_sig.groupBy("cls").agg(F.min("rep").alias("component_id")), "jaccard-smallest")
     names = materialize(of_sig.join(smallest, "cls").select("sig", "component_id"), "jaccard-names")
-    release(postings, live, sets, near, named, open_, edges)
+    release(postings, live, sets, near, named, open_, edges, reps, label, of_sig, smallest)
     return told.join(names, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, shingle_words: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; rows without a doc_id stay."""
-    told = jaccard_components(docs.where("doc_id is not null"), shingle_words, threshold)
-    return without(docs, materialize(told.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone"))
+    """docs with one row of each component: that of the smallest doc_id, rows without one coming last.
+
+    Rows whose text is null or blank all stay. Columns are as before; an empty table gives an empty one.
+    """
+    return first_of_groups(docs, lambda rows: jaccard_components(rows, shingle_words, threshold).select("doc_id", F.col("component_id").alias("label")), "jaccard")

@@ -91,11 +91,11 @@ def brute_components(rows, k, num, den):
     return sorted((i, len(sets[i]), find(i)) for i in ids)
 
 
-@pytest.mark.parametrize(("pair_rows", "block_rows"), [(8, 192), (1, 4), (0, 3)])
-def test_jaccard_components_are_brute_force(spark, awkward, monkeypatch, pair_rows, block_rows):
-    monkeypatch.setattr(ngram_jaccard, "PAIR_ROWS", pair_rows)
+@pytest.mark.parametrize(("few_rows", "block_rows", "name_bits"), [(8, 192, 64), (1, 4, 9), (0, 2, 64)])
+def test_jaccard_components_are_brute_force(spark, awkward, monkeypatch, few_rows, block_rows, name_bits):
+    monkeypatch.setattr(ngram_jaccard, "FEW_ROWS", few_rows)
     monkeypatch.setattr(ngram_jaccard, "BLOCK_ROWS", block_rows)
-    got = sorted(tuple(r) for r in ngram_jaccard.jaccard_components(awkward, 4, "0.85").collect())
+    got = sorted(tuple(r) for r in ngram_jaccard.jaccard_components(awkward, 4, "0.85", name_bits).collect())
     assert got == brute_components([(r[0], r[1]) for r in awkward_rows()], 4, 85, 100)
 
 
@@ -105,6 +105,54 @@ def test_jaccard_keeps_repeated_rows_and_empty_tables(spark, awkward):
     assert ngram_jaccard.jaccard_components(twice).count() == twice.count()
 
 
+def test_jaccard_of_rows_without_a_doc_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, far = [*base[:-1], "x"], [f"v{i}" for i in range(60)]
+    rows = [(None, " ".join(base)), (9, " ".join(near)), (5, " ".join(far)), (None, " ".join([*far, "y"])), (None, "alone"), (None, None)]
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, "0.85").collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted([(None, 9), (9, 9), (5, 5), (None, 5), (None, None), (None, None)], key=repr)
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_clash_under_polynomial_hashes_stay_apart(spark):
+    words = [thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")]
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    assert sorted(r.component_id for r in ngram_jaccard.jaccard_components(docs).collect()) == [0, 1]
+    items = spark.createDataFrame([("i", words[0])], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in decontamination(docs, items).collect()} == {0: 1, 1: 0}
+    licensed = licenses.license_scan(docs, templates=(("own", words[0], ""),))
+    assert {r.doc_id: r.labels for r in licensed.collect()} == {0: "own", 1: ""}
+
+
+def test_words_are_compared_to_their_last_byte():
+    import numpy as np
+    import pyarrow as pa
+
+    from boutworks.llm._text import LOWER, WORDLIKE, buffer, same_words, word_hashes, word_spans
+
+    rng = random.Random(1)
+    words = ["a" * n for n in (1, 7, 8, 9, 16, 17, 5000)]
+    words += [w[:-1] + "b" for w in words] + ["".join(rng.choices("abAB1", k=rng.randrange(1, 30))) for _ in range(500)]
+    raw, off = buffer(pa.array([" ".join(words)]))
+    starts, ends, _ = word_spans(raw, off, WORDLIKE)
+    hashes, low = word_hashes(raw, starts, ends), LOWER[raw]
+    i, j = np.random.default_rng(0).integers(0, len(words), (2, 20000))
+    want = np.array([words[a].lower() == words[b].lower() for a, b in zip(i, j, strict=True)])
+    assert (same_words(low, starts[i], ends[i], low, starts[j], ends[j]) == want).all()
+    assert ((hashes[i] == hashes[j]) == want).all()
+
+
+def test_items_with_odd_ids(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (None, "four five six"), (3, "seven eight"), (3, "seven eight")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two"), (None, "two three"), ("", "one two"), ("a\nb", "four five"), ("z", None), ("q", "seven")], "item_id string, text string")
+    got = sorted(((r.doc_id, r.n_hit, r.n_items, r.items, r.items_sha256) for r in decontamination(docs, items).collect()), key=repr)
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == sorted([(1, 3, 2, [""], digest("")), (None, 2, 1, ["a\nb"], digest("a\nb")), (3, 1, 1, ["q"], digest("q")), (3, 1, 1, ["q"], digest("q"))], key=repr)
+
+
 def test_components_of_a_chain(spark):
     nodes = list(range(60))
     random.Random(3).shuffle(nodes)
