@@ -3,10 +3,14 @@
 Each word has affix and n-gram features (its byte 2- to 5-grams with marks at both ends, hashed) and lexicon features
 (the languages whose list of frequent words has it); transitions between labels are learned with them. Training text is
 cut into short sequences, half of which switch between documents of different languages, and the field is fitted by its
-exact gradient from forward-backward. Texts are labelled word by word with forward-backward marginals, in windows of
-WINDOW words that see CONTEXT words to either side; a document's language is the label of most marginal mass.
+exact gradient from forward-backward. Texts are labelled word by word with forward-backward marginals over the whole
+chain; a document's language is the label of most marginal mass.
 
-Only the bounded sample that fits the model reaches the driver. Each distinct word of a slice is scored once.
+Chains of any length are done in step: each is cut into segments, whose transfer matrices give the messages at the cuts,
+and from those the messages within all segments follow together. That is the same forward-backward, in another order.
+
+Only the bounded sample of whole documents that fits the model reaches the driver. Each distinct word of a slice is
+scored once.
 """
 
 from __future__ import annotations
@@ -17,18 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import kept, slices, small_batches
 from ._text import LOWER, WORDLIKE, U, buffer, mix, word_hashes, word_spans
 
-#: Training documents a language, and the most characters of each that training reads.
-SAMPLE_ROWS, SAMPLE_CHARS = 200, 1200
+#: Training documents a language, and bytes of them in all: whole documents, the first by hash that fit.
+SAMPLE_ROWS, SAMPLE_BYTES = 200, 4 << 20
 LEXICON_WORDS = 500
 BUCKETS = 1 << 16
 LENGTH = 40
-WINDOW, CONTEXT = 64, 8
+SEGMENT = 64
+CHAIN_WORDS = 200_000
 ROUNDS, RATE, DECAY = 50, 0.2, 1e-5
 
 
@@ -85,6 +90,54 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, length: np.nd
     return marginal, pairs, total
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def chain_marginals(emission: np.ndarray, transition: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """(words, K): marginals of chains of any length; chain i has the words before[i] to before[i + 1]."""
+    k = emission.shape[1]
+    counts = np.diff(before)
+    segments = -(-counts // SEGMENT)
+    chain = np.repeat(np.arange(len(counts)), segments)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(segments) - segments, segments)
+    lo = before[chain] + SEGMENT * number
+    hi = np.minimum(lo + SEGMENT, before[chain + 1])
+    length = hi - lo
+    longest = int(length.max(initial=0))
+    grid = np.minimum(lo[:, None] + np.arange(longest), max(len(emission) - 1, 0))
+    live = np.arange(longest)[None, :] < length[:, None]
+    e = emission[grid].astype(np.float64)
+    e = np.exp(e - e.max(axis=2, keepdims=True, initial=-np.inf)) if longest else e
+    e[~live] = 1
+    m = np.exp(transition)
+    first = (number == 0)[:, None]
+    # What a segment makes of the message before it; a chain's first word has no word before it.
+    product = np.where(first[:, :, None], np.eye(k), m)
+    for i in range(longest):
+        step = (product if i == 0 else product @ m) * e[:, i, None, :]
+        product = np.where(live[:, i, None, None], step / step.sum(axis=(1, 2), keepdims=True), product)
+    into, out = np.ones((len(chain), k)), np.ones((len(chain), k))
+    by_number = np.argsort(number, kind="stable")
+    cuts = np.searchsorted(number[by_number], np.arange(int(number.max(initial=-1)) + 2))
+    for j in range(1, len(cuts) - 1):
+        own = by_number[cuts[j] : cuts[j + 1]]
+        into[own] = _scaled(np.einsum("sk,skl->sl", into[own - 1], product[own - 1]))
+    for j in range(len(cuts) - 2, 0, -1):
+        own = by_number[cuts[j] : cuts[j + 1]]
+        out[own - 1] = _scaled(np.einsum("skl,sl->sk", product[own], out[own]))
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    a = np.where(first, into, into @ m)
+    for i in range(longest):
+        a = _scaled((a if i == 0 else alpha[:, i - 1] @ m) * e[:, i])
+        alpha[:, i] = a
+    b = out
+    for i in range(longest - 1, -1, -1):
+        beta[:, i] = b
+        b = np.where(live[:, i, None], _scaled((e[:, i] * b) @ m.T), b)
+    return _scaled(alpha * beta)[live]
+
+
 @dataclass(frozen=True)
 class Field:
     labels: tuple[str, ...]
@@ -194,22 +247,14 @@ class Labeller:
         """(words, K): forward-backward marginals of every word."""
         k = len(self.field.labels)
         rows = self._rows(raw, starts, ends)
-        counts = np.diff(before)
-        windows = -(-counts // WINDOW)
-        doc = np.repeat(np.arange(len(counts)), windows)
-        own = before[doc] + WINDOW * (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows))
         out = np.zeros((len(rows), k), np.float32)
-        for part in range(0, len(doc), 4096):
-            d, lo = doc[part : part + 4096], own[part : part + 4096]
-            hi = np.minimum(lo + WINDOW, before[d + 1])
-            a, b = np.maximum(lo - CONTEXT, before[d]), np.minimum(hi + CONTEXT, before[d + 1])
-            length = b - a
-            grid = a[:, None] + np.arange(int(length.max(initial=0)))
-            emission = self.table[rows[np.minimum(grid, len(rows) - 1)]]
-            emission[grid >= b[:, None]] = 0
-            marginal, _, _ = forward_backward(emission.astype(np.float64), self.field.transition, length)
-            mine = (grid >= lo[:, None]) & (grid < hi[:, None])
-            out[grid[mine]] = marginal[mine]
+        # Chains of some hundred thousand words at a time, or one chain.
+        cut = 0
+        while cut < len(before) - 1:
+            stop = max(cut + 1, int(np.searchsorted(before, before[cut] + CHAIN_WORDS, "right")) - 1)
+            a, b = int(before[cut]), int(before[stop])
+            out[a:b] = chain_marginals(self.table[rows[a:b]], self.field.transition, before[cut : stop + 1] - a)
+            cut = stop
         return out
 
     def documents(self, column: pa.Array) -> tuple[list[str], list[float], list[int]]:
@@ -235,24 +280,29 @@ class Labeller:
         return names, score.tolist(), np.where(lettered, others, 0).tolist()
 
 
-def training_rows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """A bounded sample by hash of rows whose crc32(doc_id) mod 4 is not 2: about sample_rows of each language."""
+def training_rows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
+    """Whole texts and languages of a bounded sample of rows whose crc32(doc_id) mod 4 is not 2.
+
+    Of each language the first by hash, at most sample_rows; a text that would pass the language's share of sample_bytes
+    is not taken.
+    """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 4 <> 2")
-    counts = known.groupBy("lang").count().collect()  # as many rows as languages
-    if not counts:
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "size")
+    sizes = known.select("doc_id", "lang", F.octet_length("text").alias("size"), F.xxhash64("text").alias("own"))
+    first = sizes.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= sample_rows).collect()  # numbers alone
+    share = sample_bytes // max(1, len({r.lang for r in first}))
+    used: Counter = Counter()
+    chosen = []
+    for r in sorted(first, key=lambda r: (r.lang, r.place)):
+        if used[r.lang] + r.size <= share:
+            used[r.lang] += r.size
+            chosen.append((r.doc_id, r.lang, r.own))
+    if not chosen:
         return [], []
-    limit = F.lit(None).cast("long")
-    for r in counts:
-        bound = int(-(2**63) + min(1.0, 1.5 * sample_rows / r["count"]) * (2**64 - 1))
-        limit = F.when(F.col("lang") == r.lang, F.lit(min(bound, 2**63 - 1))).otherwise(limit)
-    rows = known.where(F.xxhash64("doc_id") <= limit).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang").collect()
-    taken: Counter = Counter()
-    out = []
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):
-        taken[r.lang] += 1
-        if taken[r.lang] <= 2 * sample_rows:
-            out.append(r)
-    return [r.text for r in out], [r.lang for r in out]
+    told = docs.sparkSession.createDataFrame(chosen, "doc_id long, lang string, own long")
+    rows = known.join(F.broadcast(told), (known["doc_id"] == told["doc_id"]) & (known["lang"] == told["lang"]) & (F.xxhash64(known["text"]) == told["own"])).select(known["doc_id"], known["text"], known["lang"]).distinct().collect()
+    rows.sort(key=lambda r: (r.doc_id, r.lang, r.text))
+    return [r.text for r in rows], [r.lang for r in rows]
 
 
 def language_id(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

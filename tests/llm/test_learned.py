@@ -65,6 +65,68 @@ def test_forward_backward_is_enumeration():
     assert log_z == pytest.approx(math.log(total))
 
 
+def log_marginals(emission, transition):
+    """Forward-backward in logarithms, a word at a time."""
+    n, k = emission.shape
+    up, down = np.zeros((n, k)), np.zeros((n, k))
+    add = lambda x: np.logaddexp.reduce(x, axis=0)
+    up[0] = emission[0]
+    for i in range(1, n):
+        up[i] = add(up[i - 1][:, None] + transition) + emission[i]
+    for i in range(n - 2, -1, -1):
+        down[i] = add((transition + emission[i + 1] + down[i + 1]).T)
+    both = up + down
+    return np.exp(both - np.logaddexp.reduce(both, axis=1)[:, None])
+
+
+def test_marginals_of_whole_chains():
+    rng = np.random.default_rng(4)
+    counts = [1000, 0, 1, 64, 65, 128, 3, 2500]
+    before = np.concatenate(([0], np.cumsum(counts)))
+    emission, transition = rng.normal(size=(before[-1], 4)) * 3, rng.normal(size=(4, 4)) * 2
+    got = langid_crf.chain_marginals(emission, transition, before)
+    for a, b in zip(before[:-1], before[1:], strict=True):
+        if b > a:
+            assert got[a:b] == pytest.approx(log_marginals(emission[a:b], transition), abs=1e-9)
+    assert langid_crf.chain_marginals(emission[:0], transition, np.array([0, 0])).shape == (0, 4)
+
+
+def test_language_query_is_brute_force(spark, awkward):
+    """The whole query against the field's weights applied a word at a time."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("n_chars < 4000").limit(150).select("doc_id", "text", "lang")
+    docs = docs.union(awkward.select("doc_id", "text", "lang"))
+    docs = docs.union(docs.limit(5))
+    field = langid_crf.fit(*langid_crf.training_rows(docs))
+    rows = langid_crf.language_id(docs).collect()
+    assert len(rows) == docs.count()
+    texts = defaultdict(set)
+    for r in docs.collect():
+        texts[r.doc_id].add(r.text)
+    import pyarrow as pa
+
+    for r in rows:
+        told = []
+        for text in texts[r.doc_id]:
+            raw, off = langid_crf.buffer(pa.array([text]))
+            starts, ends, _ = langid_crf.word_spans(raw, off, langid_crf.WORDLIKE)
+            if not any(map(str.isalpha, text or "")):
+                told.append(("und", 0.0))
+                continue
+            emission = np.concatenate([field.emissions(raw, starts[i : i + 1], ends[i : i + 1], langid_crf.word_hashes(raw, starts[i : i + 1], ends[i : i + 1])) for i in range(min(len(starts), 3000))])
+            if len(starts) > 3000:
+                continue
+            share = log_marginals(emission.astype(float), field.transition).mean(axis=0)
+            told.append((field.labels[int(share.argmax())], pytest.approx(share.max(), abs=1e-3)))
+        assert not told or (r.lang_pred, r.score) in told, r.doc_id
+
+
+def test_language_sample_is_bounded_and_whole(spark, awkward):
+    texts, languages = langid_crf.training_rows(awkward, 5, 10_000)
+    assert set(texts) <= {t for _, t, *_ in awkward_rows()}
+    assert max(Counter(languages).values()) <= 5
+    assert sum(len(t.encode()) for t in texts) <= 10_000
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = {r.doc_id: r for r in langid_crf.language_id(docs).collect()}
@@ -76,7 +138,7 @@ def test_language_held_out(spark):
 def test_words_of_two_languages_are_told_apart(spark):
     docs = {r.lang: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("n_chars > 800").collect()}
     rows = spark.read.parquet(f"{DATA}/documents.parquet").where("n_chars > 300").collect()
-    field = langid_crf.fit([r.text[:1200] for r in rows if mod(r.doc_id, 4) != 2], [r.lang for r in rows if mod(r.doc_id, 4) != 2])
+    field = langid_crf.fit([r.text for r in rows if mod(r.doc_id, 4) != 2], [r.lang for r in rows if mod(r.doc_id, 4) != 2])
     import pyarrow as pa
 
     mixed = docs["de"][:400] + " " + docs["es"][:400]
