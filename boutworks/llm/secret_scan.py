@@ -28,8 +28,7 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 #: A match of these is a whole run, so its least length can stand in the pattern.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-LEAST = 16
-_STRING = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+_STRING = re.compile(r"[A-Za-z0-9+/_=-]+")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _DIGEST_SIZES = {32, 40, 48, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
@@ -71,11 +70,13 @@ def _efficiency(ranks: str, pattern: str) -> Efficiency:
     return kept(("efficiency", hash((ranks, pattern))), lambda: Efficiency(ranks, pattern))
 
 
-def random_spans(text: str, taken: list[tuple[int, int, int]], efficiency: Efficiency, ratio: float) -> list[tuple[int, int, int]]:
+def random_spans(text: str, taken: list[tuple[int, int, int]], efficiency: Efficiency, ratio: float, least: int = 16) -> list[tuple[int, int, int]]:
     out = []
     free = lambda a, b: not any(x < b and a < y for x, y, _ in taken)
     for m in _STRING.finditer(text):
         a, b = m.span()
+        if b - a < least:
+            continue
         parts = [(*p.span(), efficiency.ordinary(p.group(), ratio)) for p in _PART.finditer(m.group())]
         if all(known for *_, known in parts):
             continue
@@ -85,16 +86,16 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], efficiency: Effic
         for known, run in groupby(parts, key=lambda p: p[2]):
             run = list(run)
             x, y = a + run[0][0], a + run[-1][1]
-            if not known and y - x >= LEAST and free(x, y) and efficiency.ratio(text[x:y]) < ratio:
+            if not known and y - x >= least and free(x, y) and efficiency.ratio(text[x:y]) < ratio:
                 out.append((x, y, 3))
     return out
 
 
-def secret_scan(docs: DataFrame, vocabulary_path: str, pattern: str, ratio: float = 2.0) -> DataFrame:
+def secret_scan(docs: DataFrame, vocabulary_path: str, pattern: str, ratio: float = 2.0, least: int = 16) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, over the whole match, sorted by start and then by kind in
-    the order assign, access, hex, random. A null text counts as empty: no spans, the digest of an empty string.
+    the order assign, access, hex, random; random strings have `least` characters at least. A null text counts as empty: no spans, the digest of an empty string.
     Repeated rows each get a row, an empty table gives an empty one, other columns are ignored.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text())
@@ -106,7 +107,7 @@ def secret_scan(docs: DataFrame, vocabulary_path: str, pattern: str, ratio: floa
             for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
                 text = text or ""
                 base = sorted(base_spans(text), key=lambda x: (x[0], x[2]))
-                more = sorted([*base, *random_spans(text, base, efficiency, ratio)], key=lambda x: (x[0], x[2]))
+                more = sorted([*base, *random_spans(text, base, efficiency, ratio, least)], key=lambda x: (x[0], x[2]))
                 told, every = (",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in x) for x in (base, more))
                 kinds = [k for _, _, k in base]
                 rows.append((doc_id, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(told.encode()).hexdigest(), every))

@@ -1,18 +1,20 @@
 """Toxicity by compression distance under two zstandard dictionaries.
 
-A window is a word between marks. Two raw-content dictionaries share one base, the commonest ordinary words; the toxic
-one goes on with word beginnings and words that training text labelled toxic has far more often, the ordinary one with
-as much that matches nothing, so that equal matches cost equally in both. How many bytes shorter a window becomes under
-the toxic dictionary is its distance. A document's score is a logistic function of how many of its windows, and what
-share of them, reach each of a few distances; the weights are fitted, so the thresholds on the score are calibrated.
+A window is a word between marks. Both dictionaries are raw content and begin alike, with the commonest ordinary words;
+one goes on with word beginnings and words that texts labelled toxic have far more often, the other with as many bytes of
+ordinary words. How many bytes shorter a window becomes under the toxic dictionary is its distance. A document's score is
+a logistic function of how many of its windows, and what share of them, reach each of a few distances; the weights are
+fitted, so the thresholds on the score are calibrated.
 
-Only the bounded sample of labelled rows that fits the model reaches the driver. Each distinct word of a slice is
+The toxic part is chosen by cover: again and again the segment whose share among the toxic texts not yet met (by MEETS
+segments) most exceeds its share among ordinary ones, until none does so beyond chance.
+
+Only the bounded sample of whole labelled rows that fits the model reaches the driver. Each distinct word of a slice is
 compressed once.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,15 +26,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import kept, materialize, slices, small_batches, without
+from ._spark import keep_rows, kept, slices, small_batches
 from ._text import LOWER, WORDLIKE, buffer, word_hashes, word_spans
 
-#: Labelled documents of each class that a model is fitted on, and the most characters of each that training reads.
-SAMPLE_ROWS = 2000
-SAMPLE_CHARS = 6000
-BASE_WORDS, TAIL_BYTES = 1200, 768
-DISTANCES = (5, 7, 9)
-LEFT, RIGHT = b"\x02\x03\x05", b"\x06\x07\x08"
+#: Labelled documents of each class that a model is fitted on, and bytes of them in all: whole texts, the first by hash.
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 24 << 20
+BASE_WORDS = 1200
+#: A segment is chosen where at least so many toxic texts not yet met have it, and its share differs by so many deviations.
+LEAST_TEXTS, LEAST_DEVIATIONS = 5, 6.0
+#: So many chosen segments meet a text.
+MEETS = 4
+DISTANCES = (3, 4, 5, 6, 8)
+LEFT, RIGHT = b"\x02\x03\x05", b"\x06\x07\x08\x0b\x0c"
 #: Ends each window and opens both dictionaries: without it a short window would be stored as it is.
 FILL = bytes(range(14, 32))
 WORDS_KEPT = 500_000
@@ -42,14 +47,15 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 @dataclass(frozen=True)
 class ToxicityModel:
     base: bytes
-    tail: bytes
+    toxic: bytes
+    ordinary: bytes
     weights: tuple[float, ...]
     mean: tuple[float, ...]
     scale: tuple[float, ...]
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         kind = zstandard.ZstdCompressionParameters(window_log=15, hash_log=15, chain_log=15, search_log=7, min_match=5, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-        both = (self.base + self.tail, self.base + b"\x00" * len(self.tail))
+        both = (self.base + self.toxic, self.base + self.ordinary)
         toxic, ordinary = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=kind) for x in both)
         return toxic, ordinary
 
@@ -87,7 +93,11 @@ class Windows:
         counts = np.diff(before)
         reached = [np.diff(np.concatenate(([0], np.cumsum(distance >= t)))[before]) for t in DISTANCES]
         n = np.maximum(counts, 1)
-        return np.stack([np.log1p(x) for x in reached] + [np.sqrt(x / n) for x in reached] + [np.log1p(counts)], axis=1)
+        made = (np.log1p, lambda x: x > 0, lambda x: x > 1, lambda x: np.sqrt(x / n))
+        return np.stack([f(x).astype(float) for x in reached for f in made] + [np.log1p(counts)], axis=1)
+
+
+FEATURES = 4 * len(DISTANCES) + 1
 
 
 def _segments(words: set[bytes]) -> set[bytes]:
@@ -100,34 +110,60 @@ def _segments(words: set[bytes]) -> set[bytes]:
     return out
 
 
+def _alike(a: bytes, b: bytes) -> bool:
+    """Whether one segment's word begins the other's."""
+    a, b = a.removesuffix(RIGHT), b.removesuffix(RIGHT)
+    return a.startswith(b) or b.startswith(a)
+
+
+def _cover(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
+    """Segments by cover; of those that the same texts have, the longest."""
+    n1, n0 = max(1, len(toxic)), max(1, len(ordinary))
+    hot, cold = Counter(x for s in toxic for x in s), Counter()
+    able = {x for x, n in hot.items() if n >= LEAST_TEXTS}
+    for s in ordinary:
+        cold.update(s & able)
+    names = sorted(x for x in able if hot[x] / n1 > 3 * (cold[x] + 0.5) / n0)
+    place = {x: i for i, x in enumerate(names)}
+    has = np.zeros((len(toxic), len(names)), bool)
+    for i, s in enumerate(toxic):
+        has[i, [place[x] for x in s if x in place]] = True
+    q = np.array([cold[x] / n0 for x in names])
+    size = np.array([len(x) for x in names])
+    left, seen, out = np.full(len(toxic), MEETS), has.sum(axis=0), []
+    while len(names):
+        n = seen / n1
+        p = (seen + q * n0) / (n1 + n0)
+        z = (n - q) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+        z[seen < LEAST_TEXTS] = 0
+        best = int(np.lexsort((size, np.round(z, 6)))[-1])
+        if z[best] < LEAST_DEVIATIONS:
+            break
+        out.append(names[best])
+        left -= has[:, best]
+        has[:, [i for i, x in enumerate(names) if _alike(x, names[best])]] = False
+        met = (left == 0) & has.any(axis=1)
+        has[met] = False
+        seen = has.sum(axis=0)
+    return out
+
+
 def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
-    """Choose the dictionaries' content by contrast, then fit the weights."""
-    docs = [[w for w in _WORD.findall(t[:SAMPLE_CHARS].encode().translate(bytes(LOWER)))] for t in texts]
+    """Choose the dictionaries' content, then fit the weights."""
+    docs = [_WORD.findall(t.encode().translate(bytes(LOWER))) for t in texts]
     y = np.array(toxic, float)
-    n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
-    hot, cold, common = Counter(), Counter(), Counter()
-    for words, label in zip(docs, toxic, strict=True):
-        (hot if label else cold).update(_segments(set(words)))
-        if not label:
-            common.update(words)
-
-    def contrast(s: bytes) -> float:
-        p = (hot[s] + cold[s]) / (n1 + n0)
-        return (hot[s] / n1 - cold[s] / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-
-    chosen: list[bytes] = []
-    room = TAIL_BYTES
-    for s in sorted((s for s in hot if hot[s] >= max(5, 0.015 * n1) and hot[s] / n1 > 5 * (cold[s] + 0.5) / n0), key=lambda s: (-round(contrast(s), 6), -len(s), s)):
-        if contrast(s) < 4 or len(s) > room:
-            break
-        bare = s.removesuffix(RIGHT)
-        if not any(bare.startswith(c.removesuffix(RIGHT)) or c.startswith(bare) for c in chosen):
-            chosen.append(s)
-            room -= len(s)
-    base = FILL + b"".join(LEFT + w + RIGHT for w, _ in sorted(common.items(), key=lambda x: (x[1], x[0]))[-BASE_WORDS:])
-    bare = ToxicityModel(base, b"".join(reversed(chosen)), (), (), ())
+    segments = [_segments(set(words)) for words in docs]
+    chosen = _cover([s for s, label in zip(segments, toxic, strict=True) if label], [s for s, label in zip(segments, toxic, strict=True) if not label])
+    del segments
+    common = Counter(w for words, label in zip(docs, toxic, strict=True) if not label for w in words)
+    marked = [LEFT + w + RIGHT for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
+    tail = b"".join(reversed(chosen))
+    own = (w for w in marked[BASE_WORDS : BASE_WORDS + len(tail)] if not any(w[: len(LEFT) + 3] == c[: len(LEFT) + 3] for c in chosen))
+    rest = b"".join(own)[: len(tail)].rjust(len(tail), b"\x00")
+    base = FILL + b"".join(reversed(marked[:BASE_WORDS]))
+    bare = ToxicityModel(base, tail, rest, (), (), ())
     windows = Windows(bare)
-    x = np.concatenate([windows.features(pa.array(texts[i : i + 500], pa.string())) for i in range(0, len(texts), 500)]) if texts else np.zeros((0, 2 * len(DISTANCES) + 1))
+    x = np.concatenate([windows.features(pa.array(texts[i : i + 100], pa.string())) for i in range(0, len(texts), 100)]) if texts else np.zeros((0, FEATURES))
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     a = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
     w = np.zeros(a.shape[1])
@@ -135,20 +171,34 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (p - y) + ridge @ w)
-    return ToxicityModel(base, bare.tail, tuple(w.tolist()), tuple(mean.tolist()), tuple(scale.tolist()))
+    return ToxicityModel(base, tail, rest, tuple(w.tolist()), tuple(mean.tolist()), tuple(scale.tolist()))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled rows: of each class the first by hash, of rows whose crc32(doc_id) mod 3 is not 1."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
+    """Whole texts of a bounded sample of labelled rows, of those whose crc32(doc_id) mod 3 is not 1.
+
+    Of each class the first by hash, at most sample_rows; a text that would pass half of sample_bytes is not taken.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y is not null and crc32(cast(doc_id as string)) % 3 <> 1")
     chosen = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+        part = known.where(F.col("y") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()  # at most 2 * sample_rows labels
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return [r.text for r in rows], [r.y for r in rows]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * sample_rows labels
+    sizes = rows.select("doc_id", "y", F.xxhash64("doc_id").alias("place"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("own")).collect()
+    used = {0: 0, 1: 0}
+    taken = []
+    for r in sorted(sizes, key=lambda r: (r.y, r.place, r.doc_id, r.size, r.own)):
+        if used[r.y] + r.size <= sample_bytes // 2:
+            used[r.y] += r.size
+            taken.append((r.doc_id, r.y, r.own))
+    if not taken:
+        return [], []
+    told = docs.sparkSession.createDataFrame(taken, "doc_id long, y int, own long").distinct()
+    found = texts.withColumn("own", F.xxhash64("text")).join(F.broadcast(told), ["doc_id", "own"]).select("doc_id", "text", "y").distinct().collect()
+    found.sort(key=lambda r: (r.doc_id, r.y, r.text))
+    return [r.text for r in found], [r.y for r in found]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.7) -> DataFrame:
@@ -173,6 +223,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.7) -> DataFrame:
-    """docs less those predicted toxic; rows without a doc_id stay."""
-    told = toxicity(docs.where("doc_id is not null"), labels, sample_rows, threshold)
-    return without(docs, materialize(told.where("predicted = 1").select("doc_id").distinct(), "toxic"))
+    """docs less the rows whose score reaches the threshold. Each row is judged by its text, whatever its doc_id.
+
+    A null or empty text has no toxic window. Columns are as before; an empty table gives an empty one.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(*training_rows(docs, labels, sample_rows)))
+
+    def stays(column: pa.Array) -> np.ndarray:
+        windows = kept(("toxicity", hash(model.value)), lambda: Windows(model.value))
+        return model.value.score(windows.features(column)) < threshold
+
+    return keep_rows(docs, stays)

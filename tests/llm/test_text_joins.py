@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
 
 import pytest
+import tiktoken
 
 from .conftest import LOW, awkward_rows
 
@@ -253,6 +255,93 @@ def test_secret_scan(spark, awkward):
     assert scanned.count() == awkward.count()
 
 
+def brute_spans(text, tokens):
+    """The contract's patterns and the ratio test, by scanning."""
+    import regex
+
+    found = [(m.start(), 0, m.end()) for m in regex.finditer(r"""(?a)(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 8]
+
+    def runs(letters, opening, least):
+        at = 0
+        while at < len(text):
+            if text.startswith(opening, at) and text[at] in letters:
+                end = at + len(opening)
+                while end < len(text) and text[end] in letters:
+                    end += 1
+                if end - at >= max(least, len(opening) + 1):
+                    yield at, end
+                    at = end
+                    continue
+                at = end if not opening else at
+            at += 1
+
+    import string
+
+    found += [(a, 1, b) for a, b in runs(string.ascii_uppercase + string.digits, "AKIA", 16)]
+    found += [(a, 2, b) for a, b in runs("0123456789abcdef", "", 32)]
+    found.sort()
+    every = list(found)
+    for a, b in runs(string.ascii_letters + string.digits + "+/_=-", "", 16):
+        whole, parts, at = text[a:b], [], a
+        while at < b:
+            uuid = regex.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}").match(text, at)
+            glued = uuid and (at > a and text[at - 1].isalnum() or uuid.end() < b and text[uuid.end()].isalnum())
+            if uuid and not glued:
+                parts.append((at, uuid.end(), True))
+                at = uuid.end()
+            elif text[at].isalnum():
+                end = at
+                while end < b and text[end].isalnum():
+                    end += 1
+                p, n = text[at:end], tokens(text[at:end])
+                hexed = len(p) in (32, 40, 48, 56, 64, 96, 128) and (not set(p) - set("0123456789abcdef") or not set(p) - set("0123456789ABCDEF"))
+                parts.append((at, end, p.isdigit() or hexed or n == 1 or len(p) >= 2 * n))
+                at = end
+            else:
+                at += 1
+        free = lambda x, y: all(q <= x or y <= p for p, _, q in found)
+        if all(k for *_, k in parts):
+            continue
+        if free(a, b) and len(whole) < 2 * tokens(whole):
+            every.append((a, 3, b))
+            continue
+        while parts:
+            same = [parts[0]]
+            while len(same) < len(parts) and parts[len(same)][2] == same[0][2]:
+                same.append(parts[len(same)])
+            x, y = same[0][0], same[-1][1]
+            if not same[0][2] and y - x >= 16 and free(x, y) and y - x < 2 * tokens(text[x:y]):
+                every.append((x, 3, y))
+            parts = parts[len(same) :]
+    told = lambda spans: ",".join(f"{('assign', 'access', 'hex', 'random')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    return [sum(k == i for _, k, _ in found) for i in range(3)], told(found), told(every)
+
+
+def test_secret_scan_is_brute_force(spark, awkward, small):
+    import string
+
+    import public_tokenizers
+
+    rng = random.Random(11)
+    bits = ["password=", "token: ", "API_KEY='", "secret", " ", "\n", "AKIA", "-", "_", "/", "é", "applications", "6f9619ff-8b86-d011-b42d-00c04fc964ff", "=", "+", "."]
+    letters = [string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_uppercase + string.digits, string.digits]
+    odd = ["".join(rng.choice(bits) if rng.random() < 0.5 else "".join(rng.choices(rng.choice(letters), k=rng.choice([3, 8, 17, 33, 40]))) for _ in range(12)) for _ in range(400)]
+    docs = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    docs = docs.union(awkward.select("doc_id", "text")).union(spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id + 100000", "text"))
+    path = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path).read().splitlines() if x)}
+    encoding = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokens = lambda s: sum(len(encoding.encode_ordinary(s[i : i + 1000])) for i in range(0, len(s), 1000))
+    rows = secret_scan.secret_scan(docs.union(docs.limit(3)), path, public_tokenizers.PATTERN).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(rows) == len(texts) + 3
+    for r in rows:
+        counts, base, every = brute_spans(texts[r.doc_id], tokens)
+        assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256, r.spans) == (counts, hashlib.sha256(base.encode()).hexdigest(), every), texts[r.doc_id]
+    assert any("random" in r.spans for r in rows)
+    assert secret_scan.secret_scan(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
 def test_random_strings_meet_the_ratio_test_whatever_their_letters():
     import string
     from pathlib import Path

@@ -49,6 +49,60 @@ def test_token_files_round_trip(spark, awkward, library):
     assert token_binary.token_files(awkward.limit(0), word_tokenizer(), 2).count() == 0
 
 
+def test_token_files_are_in_order(spark, awkward, library, tmp_path):
+    """Files by name, and blocks in them, ascend by doc_id; rows without one come first; repeated rows stay."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = [(2**60 + 1, "one two"), (None, "three"), (None, "four five six"), (2**60, "seven"), (5, None), (5, "eight"), (5, "eight"), (-3, "nine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").union(awkward.select("doc_id", "text")).repartition(5)
+    path = str(tmp_path / "files")
+    token_binary.write_token_files(docs, path, word_tokenizer(), 2)
+    starts, ids = [], []
+    for file in sorted(glob.glob(f"{path}/blocks/*.parquet")):
+        for block in pq.read_table(file).to_pylist():
+            starts.append(block["start"])
+            ids += block["doc_ids"]
+    assert starts == sorted(starts)
+    assert ids == sorted((r.doc_id for r in docs.collect()), key=lambda i: (i is not None, i or 0))
+    got = token_binary.read_token_files(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == ids
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got]).tolist()[:-1]]
+    want = Counter((i, crc([*library.encode(t or "", add_special_tokens=False).ids, 2])) for i, t in docs.collect())
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+
+
+def test_ids_of_odd_strings(library):
+    """The shortcuts for plain words give the library's ids."""
+    import random
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from boutworks.llm.tokenize import WordTokenizer
+
+    rng = random.Random(3)
+    signs = "aAbzZéÉßÿÀ×÷ñ09'’.,;-_/ \n\t\r\x0b\x1c\x85\xa0\u2009日本語😀ﬁ½İı\u0301<|>endoftext'stdllre"
+    texts = ["".join(rng.choices(signs, k=rng.randrange(0, 40))) for _ in range(3000)] + ["<|endoftext|>x", "it's WE'LL x'Re", "a" * 200]
+    ids, off = WordTokenizer(Path(word_tokenizer()).read_text()).encode(pa.array([*texts, None]))
+    for i, text in enumerate(texts):
+        assert ids[off[i] : off[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert off[-1] == off[-2]
+
+
+def test_packing_of_equal_and_odd_rows(spark, library):
+    rows = [(i, "one two three four five six seven eight nine") for i in range(3000)] + [(None, "one"), (None, None), (7, "again"), (7, "again")]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), word_tokenizer()).collect()
+    assert Counter(r.doc_id for r in packed) == Counter(i for i, _ in rows)
+    length = Counter(r.length for r in packed).most_common(1)[0][0]
+    least = -(-3000 // (2048 // length))
+    assert len({r.sequence_id for r in packed}) <= 1.05 * least
+    spots = sorted((r.sequence_id, r.offset, r.length) for r in packed)
+    for (s, a, n), (t, b, _) in zip(spots, spots[1:], strict=False):
+        assert b == (a + n if s == t else 0)
+
+
 def test_packing(spark, awkward, library):
     rows = packing.pack(awkward, word_tokenizer(), 1, 256).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
