@@ -30,7 +30,7 @@ from ._spark import keep_rows, kept, slices, small_batches
 from ._text import LOWER, WORDLIKE, buffer, word_hashes, word_spans
 
 #: Labelled documents of each class that a model is fitted on, and bytes of them in all: whole texts, the first by hash.
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 24 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 16 << 20
 BASE_WORDS = 1200
 #: A segment is chosen where at least so many toxic texts not yet met have it, and its share differs by so many deviations.
 LEAST_TEXTS, LEAST_DEVIATIONS = 5, 6.0
@@ -116,18 +116,24 @@ def _alike(a: bytes, b: bytes) -> bool:
     return a.startswith(b) or b.startswith(a)
 
 
-def _cover(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
-    """Segments by cover; of those that the same texts have, the longest."""
+def _words(text: str) -> list[bytes]:
+    return _WORD.findall(text.encode().translate(bytes(LOWER)))
+
+
+def _cover(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """Segments by cover; of those that the same texts have, the longest. A text's segments are made when needed."""
     n1, n0 = max(1, len(toxic)), max(1, len(ordinary))
-    hot, cold = Counter(x for s in toxic for x in s), Counter()
+    hot, cold = Counter(), Counter()
+    for text in toxic:
+        hot.update(_segments(set(_words(text))))
     able = {x for x, n in hot.items() if n >= LEAST_TEXTS}
-    for s in ordinary:
-        cold.update(s & able)
+    for text in ordinary:
+        cold.update(_segments(set(_words(text))) & able)
     names = sorted(x for x in able if hot[x] / n1 > 3 * (cold[x] + 0.5) / n0)
     place = {x: i for i, x in enumerate(names)}
     has = np.zeros((len(toxic), len(names)), bool)
-    for i, s in enumerate(toxic):
-        has[i, [place[x] for x in s if x in place]] = True
+    for i, text in enumerate(toxic):
+        has[i, [place[x] for x in _segments(set(_words(text))) if x in place]] = True
     q = np.array([cold[x] / n0 for x in names])
     size = np.array([len(x) for x in names])
     left, seen, out = np.full(len(toxic), MEETS), has.sum(axis=0), []
@@ -150,12 +156,12 @@ def _cover(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
 
 def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     """Choose the dictionaries' content, then fit the weights."""
-    docs = [_WORD.findall(t.encode().translate(bytes(LOWER))) for t in texts]
     y = np.array(toxic, float)
-    segments = [_segments(set(words)) for words in docs]
-    chosen = _cover([s for s, label in zip(segments, toxic, strict=True) if label], [s for s, label in zip(segments, toxic, strict=True) if not label])
-    del segments
-    common = Counter(w for words, label in zip(docs, toxic, strict=True) if not label for w in words)
+    chosen = _cover([t for t, label in zip(texts, toxic, strict=True) if label], [t for t, label in zip(texts, toxic, strict=True) if not label])
+    common: Counter = Counter()
+    for text, label in zip(texts, toxic, strict=True):
+        if not label:
+            common.update(_words(text))
     marked = [LEFT + w + RIGHT for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
     tail = b"".join(reversed(chosen))
     own = (w for w in marked[BASE_WORDS : BASE_WORDS + len(tail)] if not any(w[: len(LEFT) + 3] == c[: len(LEFT) + 3] for c in chosen))
