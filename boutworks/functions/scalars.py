@@ -38,10 +38,20 @@ def canonical_z(ts: Column) -> Column:
     return F.concat(F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0*$", ""), F.lit("Z"))
 
 
+#: Escapes with a letter of their own.
+_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
+
+
 def json_text(c: Column) -> Column:
-    """A JSON string. Characters beyond ASCII stay as they are."""
-    told = F.to_json(F.array(c))
-    return F.substr(told, F.lit(2), F.length(told) - 2)
+    """A JSON string in ASCII: all else as four hexadecimal digits a UTF-16 unit."""
+    short = F.create_map(*[F.lit(x) for kv in _ESCAPES.items() for x in kv])
+
+    def one(ch: Column) -> Column:
+        units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
+        long = F.regexp_replace(units, "(.{4})", r"\\u$1")
+        return F.coalesce(F.try_element_at(short, ch), F.when((ch == "") | ch.between(" ", "~"), ch), long)
+
+    return F.concat(F.lit('"'), F.array_join(F.transform(F.split(c, ""), one), ""), F.lit('"'))
 
 
 def event_body(mode: Column, source: Column, ts: Column, side_a: tuple[Column, Column, Column], side_b: tuple[Column, Column, Column]) -> Column:

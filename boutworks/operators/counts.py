@@ -37,10 +37,11 @@ def matchup_counts(rows: DataFrame, a: str = "deck_a", b: str = "deck_b") -> Dat
 
 
 def pair_counts(rows: DataFrame, items_a: str = "items_a", items_b: str = "items_b") -> DataFrame:
-    """(item, against, wins, trials) for each directed pair of opposing items."""
-    one = rows.select(F.explode(items_a).alias("item"), F.col(items_b).alias("others"), "label")
-    both = one.select("item", F.explode("others").alias("against"), "label")
-    return both.groupBy("item", "against").agg(F.sum(F.col("label").cast("long")).alias("wins"), F.count("*").alias("trials"))
+    """(item, against, wins, trials) for each directed pair of opposing items; equal decks are summed before they are opened."""
+    decks = rows.groupBy(items_a, items_b).agg(F.sum(F.col("label").cast("long")).alias("won"), F.count("*").alias("n"))
+    one = decks.select(F.explode(items_a).alias("item"), F.col(items_b).alias("others"), "won", "n")
+    both = one.select("item", F.explode("others").alias("against"), "won", "n")
+    return both.groupBy("item", "against").agg(F.sum("won").alias("wins"), F.sum("n").alias("trials"))
 
 
 def pair_weights(counts: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -56,33 +57,51 @@ def item_effects(counts: DataFrame, alpha: float = 1.0) -> DataFrame:
     return counts.select("item", log_odds(F.col("wins"), F.col("trials"), alpha).alias("effect"))
 
 
+#: Largest catalog that goes out as a literal map; beyond it tables are joined.
+MAP_ITEMS = 2_000
+
+
 def effect_map(effects: DataFrame, key: str = "item", value: str = "effect") -> dict:
     """A catalog-sized table as a literal map: items are a fixed dimension."""
     return {r[key]: r[value] for r in effects.collect()}
 
 
-def item_scores(rows: DataFrame, effects: DataFrame, key: str = "fingerprint", items_a: str = "items_a", items_b: str = "items_b") -> DataFrame:
+def _literal(table: dict, kind: str) -> Column:
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.create_map().cast(f"map<{kind}>")
+
+
+def _plus(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda x, y: x + y)
+
+
+def item_scores(rows: DataFrame, effects: DataFrame, items_a: str = "items_a", items_b: str = "items_b") -> DataFrame:
     """Adds score = sum of A's effects - sum of B's (unknown items count nothing) and probability."""
-    table = effect_map(effects)
-    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.create_map().cast("map<int,double>")
-    total = lambda c: F.aggregate(F.transform(F.col(c), lambda i: F.coalesce(F.element_at(known, i), F.lit(0.0))), F.lit(0.0), lambda x, y: x + y)
-    out = rows.withColumn("score", total(items_a) - total(items_b))
+    if effects.count() <= MAP_ITEMS:
+        known = _literal(effect_map(effects), "int,double")
+        total = lambda c: _plus(F.transform(F.col(c), lambda i: F.coalesce(F.try_element_at(known, i), F.lit(0.0))))
+        out = rows.withColumn("score", total(items_a) - total(items_b))
+    else:
+        out = rows
+        for side in (items_a, items_b):
+            long = rows.select(F.col(side).alias("_deck")).distinct().select("_deck", F.explode("_deck").alias("item"))
+            told = long.join(effects, "item", "left").groupBy("_deck").agg(F.sum(F.coalesce("effect", F.lit(0.0))).alias(f"_{side}"))
+            out = out.join(told, F.col(side) == F.col("_deck"), "left").drop("_deck")
+        out = out.withColumn("score", F.coalesce(f"_{items_a}", F.lit(0.0)) - F.coalesce(f"_{items_b}", F.lit(0.0))).drop(f"_{items_a}", f"_{items_b}")
     return out.withColumn("probability", sigmoid(F.col("score")))
 
 
 def pair_scores(rows: DataFrame, effects: DataFrame, weights: DataFrame, keys: tuple[str, ...], items_a: str = "items_a", items_b: str = "items_b", scale: float = PAIR_SCALE) -> DataFrame:
-    """keys + pair_score, pair_probability: item scores plus the mean weight of opposing pairs over `scale`."""
+    """keys + pair_score, pair_probability: item scores plus the mean weight of opposing pairs over `scale`.
+
+    Weights are summed once for each distinct pair of decks, and the sums joined back.
+    """
     single = item_scores(rows, effects, items_a=items_a, items_b=items_b)
-    table = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "item", "against"), "weight")))
-    known = weights.agg(table.alias("w")).first()["w"]  # as many entries as pairs of catalog items
-    lookup = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known and len(known) <= 500 else None
-    if lookup is None:
-        long = single.select(*keys, "score", F.explode(items_a).alias("item"), F.col(items_b).alias("others")).select(*keys, "score", "item", F.explode("others").alias("against"))
-        summed = long.join(weights, ["item", "against"], "left").groupBy(*keys, "score").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("w"))
-    else:
-        inner = lambda i: F.aggregate(F.transform(F.col(items_b), lambda j: F.coalesce(F.element_at(lookup, F.concat_ws("|", i, j)), F.lit(0.0))), F.lit(0.0), lambda x, y: x + y)
-        summed = single.withColumn("w", F.aggregate(F.transform(F.col(items_a), inner), F.lit(0.0), lambda x, y: x + y))
-    out = summed.withColumn("pair_score", F.col("score") + F.col("w") / scale)
+    decks = rows.select(F.col(items_a).alias("_a"), F.col(items_b).alias("_b")).distinct()
+    one = decks.select("_a", "_b", F.explode("_a").alias("item"))
+    both = one.select("_a", "_b", "item", F.explode("_b").alias("against")).join(weights, ["item", "against"], "left")
+    summed = both.groupBy("_a", "_b").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("w"))
+    out = single.join(summed, (F.col(items_a) == F.col("_a")) & (F.col(items_b) == F.col("_b")), "left")
+    out = out.withColumn("pair_score", F.col("score") + F.coalesce("w", F.lit(0.0)) / scale)
     return out.select(*keys, "pair_score", sigmoid(F.col("pair_score")).alias("pair_probability"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import log_odds
 from ..sources.shared import written
+from .ranks import numbered
 
 KEY = ("ts", "fingerprint", "member", "row_no")
 
@@ -34,9 +35,10 @@ def rolling(observations: DataFrame, n: int) -> DataFrame:
     if n <= 0:
         raise ValueError("the window must be positive")
     w = Window.partitionBy("player").orderBy(F.col("ts").desc(), F.col("fingerprint").desc(), F.col("member").desc(), F.col("row_no").desc())
-    recent = observations.withColumn("rn", F.row_number().over(w))
-    last = lambda c: F.sum(F.when(F.col("rn") <= n, c))
-    got = recent.groupBy("player").agg(F.count("*").alias("eligible"), last(1 - F.col("chance")).alias("sd"), last(F.col("chance")).alias("sp"), last(F.col("win")).alias("sw"))
+    # The rank's limit is applied before the exchange too; all rows of a player are only counted.
+    recent = observations.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    sums = recent.groupBy("player").agg(F.sum(1 - F.col("chance")).alias("sd"), F.sum("chance").alias("sp"), F.sum("win").alias("sw"))
+    got = observations.groupBy("player").agg(F.count("*").alias("eligible")).join(sums, "player")
     enough = F.col("eligible") >= n
     return got.select(
         "player", "eligible", F.when(enough, "available").otherwise("insufficient_data").alias("status"),
@@ -111,16 +113,21 @@ def watch_boundary(rows: DataFrame, share: float) -> DataFrame:
     return times.where("before > 0").select("ts", F.col("before").alias("fit_rows"), F.lit(total).cast("long").alias("rows")).orderBy(F.abs(F.col("fit_rows") - target), F.col("fit_rows").desc()).limit(1)
 
 
+#: Characters of a fingerprint that split rows of one time.
+PREFIX = 3
+
+
 def trailing(rows: DataFrame, share: float) -> DataFrame:
-    """KEY + watch: whether a row is among the last int(n share), at least one and at most n - 1.
+    """KEY + ordinal + watch: whether a row is among the last int(n share), at least one and at most n - 1.
 
-    Numbers come from rows_by_time and a rank within equal times, never from one global sort.
+    Numbers come from rows_by_time and a rank within equal times by prefixes of the fingerprint, never from one sort of
+    all rows or of all rows of a time.
     """
     n = rows.count()
     k = min(max(int(n * share), 1), n - 1)
-    inside = F.row_number().over(Window.partitionBy("ts").orderBy("fingerprint", "member", "row_no"))
-    numbered = rows.select(*KEY).withColumn("in_ts", inside).join(rows_by_time(rows), "ts")
-    return numbered.select(*KEY, (F.col("before") + F.col("in_ts") - 1).cast("long").alias("ordinal"), (F.col("before") + F.col("in_ts") > n - k).alias("watch"))
+    ranked = numbered(rows.select(*KEY), ("ts",), F.substring("fingerprint", 1, PREFIX), KEY[1:], "in_ts").join(rows_by_time(rows), "ts")
+    ordinal = (F.col("before") + F.col("in_ts")).cast("long")
+    return ranked.select(*KEY, ordinal.alias("ordinal"), (ordinal >= n - k).alias("watch"))
 
 
 def unordered_keys(rows: DataFrame) -> DataFrame:

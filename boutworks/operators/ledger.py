@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STATES = ("valid", "invalid", "unsupported", "quarantined", "unavailable")
-ISSUES = ("conflicting_duplicate", "draw_outcome", "duplicate_battle", "identical_players", "incomplete_deck", "malformed_row", "malformed_timestamp", "non_max_card_level", "repeated_card", "stale_balance_era", "target_player_not_found", "unknown_card", "unsupported_mode")
+#: The states of a record, and the issues that ingestion can find.
+STATES = ("insufficient_data", "invalid", "quarantined", "unsupported", "valid")
+ISSUES = (
+    "conflicting_battle", "draw_outcome", "duplicate_battle", "identical_players", "incomplete_deck", "incompatible_source_schema", "malformed_row",
+    "malformed_timestamp", "non_max_card_level", "repeated_card", "stale_balance_era", "unsupported_mode", "unknown_card",
+)
 
 
 def event_groups(rows: DataFrame) -> DataFrame:
@@ -28,7 +32,7 @@ def dispositions(rows: DataFrame, population_issues: Column) -> DataFrame:
     first = F.min(F.struct("member", "row_no")).over(event)
     conflict = ~F.min("fingerprint").over(event).eqNullSafe(F.max("fingerprint").over(event))
     again = ~F.struct("member", "row_no").eqNullSafe(first)
-    issue = F.when(conflict, F.array(F.lit("conflicting_duplicate"))).when(again, F.array(F.lit("duplicate_battle"))).otherwise(F.array().cast("array<string>"))
+    issue = F.when(conflict, F.array(F.lit("conflicting_battle"))).when(again, F.array(F.lit("duplicate_battle"))).otherwise(F.array().cast("array<string>"))
     state = F.when(conflict | again, "quarantined").when(F.size(population_issues) > 0, "unsupported").otherwise("valid")
     return rows.select(
         "member", "row_no", "event_key", "fingerprint", "ts", "outcome", "player_a", "player_b",

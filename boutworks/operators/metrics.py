@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import equal_width_bin, probability_band, row_log_loss, seen_class, support_band
 
 Z95 = 1.959963984540054
-HISTORY_BOUNDS = (0, 10, 25)
+#: The least history of each band.
+HISTORY_BOUNDS = (0, 1, 10)
 
 
 def mean_scores(label: str = "label", p: str = "p") -> list[Column]:
@@ -50,7 +51,7 @@ def families() -> dict[str, Column]:
     return {
         "deck": seen_class(F.col("deck_a_n"), F.col("deck_b_n")),
         "pair": F.when(F.col("pair_n") > 0, "seen_pair").otherwise("unseen_pair"),
-        "support": support_band(F.least("deck_a_n", "deck_b_n")),
+        "support": F.concat(F.lit("support_"), support_band(F.least("deck_a_n", "deck_b_n"))),
         "probability": F.concat(F.lit("band_"), probability_band(F.col("p")).cast("string")),
     }
 

@@ -28,14 +28,16 @@ def deck(part: Column) -> Column:
 def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "supplier").count()
     order = ["l_returnflag", "l_linestatus", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    rn = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*order))
+    # Ranked by the event's own key, so that what follows by event needs no second exchange.
+    rn = F.row_number().over(Window.partitionBy("event_key").orderBy(*order))
     b = (F.col("l_suppkey") + 1 + F.col("l_partkey") % (m - 1)) % m
     key = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").withColumn("event_key", key)
+    return lines.select(
         F.concat(F.lit("m"), (F.col("l_orderkey") % 8).cast("string")).alias("member"),
         ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100 + rn).cast("long").alias("row_no"),
-        key.alias("event_key"),
-        F.concat_ws(":", key, F.col("l_returnflag")).alias("fingerprint"),
+        "event_key",
+        F.concat_ws(":", "event_key", F.col("l_returnflag")).alias("fingerprint"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.col("l_linestatus").alias("mode"),
         F.when(F.col("l_returnflag") == "A", "side_a_win").when(F.col("l_returnflag") == "R", "side_b_win").otherwise("draw").alias("outcome"),

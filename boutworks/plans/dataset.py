@@ -33,7 +33,7 @@ ledger AS (
   SELECT b.*, g.first_row, fps > 1 AS conflict, b.row_no <> g.first_row AS again,
     CASE WHEN fps > 1 OR b.row_no <> g.first_row THEN 'quarantined' WHEN mode <> 'F' THEN 'unsupported' ELSE 'valid' END AS state,
     list_sort(list_distinct(list_concat(
-      CASE WHEN fps > 1 THEN ['conflicting_duplicate'] WHEN b.row_no <> g.first_row THEN ['duplicate_battle'] ELSE []::VARCHAR[] END,
+      CASE WHEN fps > 1 THEN ['conflicting_battle'] WHEN b.row_no <> g.first_row THEN ['duplicate_battle'] ELSE []::VARCHAR[] END,
       CASE WHEN mode <> 'F' THEN ['unsupported_mode'] ELSE []::VARCHAR[] END))) AS issues
   FROM bouts b JOIN g USING (event_key))
 """
@@ -49,8 +49,9 @@ def event_groups(spark, sf_dir):
     return ledger.event_groups(bouts(spark, sf_dir)).select("event_key", "fingerprints", "rows", "first.member", "first.row_no")
 
 
-_STATES = "(VALUES " + ", ".join(f"('{s}')" for s in ledger.STATES) + ")"
-_ISSUES = "(VALUES " + ", ".join(f"('{s}')" for s in ledger.ISSUES) + ")"
+_STATES = "(VALUES ('valid'), ('invalid'), ('quarantined'), ('unsupported'), ('insufficient_data'))"
+_ISSUES = """(VALUES ('malformed_row'), ('malformed_timestamp'), ('incompatible_source_schema'), ('unknown_card'), ('repeated_card'), ('incomplete_deck'), ('identical_players'),
+  ('duplicate_battle'), ('conflicting_battle'), ('unsupported_mode'), ('non_max_card_level'), ('draw_outcome'), ('stale_balance_era'))"""
 
 
 @query("a6_state_counts", LEDGER_SQL + f"SELECT s.state, coalesce(n, 0)::BIGINT AS n FROM {_STATES} AS s(state) LEFT JOIN (SELECT state, count(*) AS n FROM ledger GROUP BY state) USING (state)")

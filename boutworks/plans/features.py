@@ -220,18 +220,18 @@ def live_logs(spark, sf_dir):
     rows = decided(spark, sf_dir)
 
     def side(player: str, won: Column, low: Column) -> Column:
-        card = lambda i: F.struct((F.lit(26000000) + i).cast("long").alias("id"), F.lit("c").alias("name"), F.when(low, 13).otherwise(14).alias("level"), F.lit(14).alias("maxLevel"))
+        card = lambda i: F.struct((F.lit(26000000) + i).cast("long").alias("id"), F.concat(F.lit("Card "), i.cast("string")).alias("name"), F.when(low, 13).otherwise(14).alias("level"), F.lit(14).alias("maxLevel"))
         tag = F.concat(F.lit("#"), F.upper(F.lpad(F.col(player), 4, "0")))
-        tower = F.when(F.col("deck_a") == 5, F.array().cast("array<struct<id:bigint,name:string,level:int,maxLevel:int>>")).otherwise(F.array(F.struct(F.lit(159000000).cast("long").alias("id"), F.lit("t").alias("name"), F.lit(15).alias("level"), F.lit(15).alias("maxLevel"))))
+        tower = F.when(F.col("deck_a") == 5, F.array().cast("array<struct<id:bigint,name:string,level:int,maxLevel:int>>")).otherwise(F.array(F.struct(F.lit(159000000).cast("long").alias("id"), F.lit("Tower").alias("name"), F.lit(15).alias("level"), F.lit(15).alias("maxLevel"))))
         n = F.when((F.col("deck_a") == 3) & F.lit(player == "player_a"), 6).otherwise(7)
         return F.struct(tag.alias("tag"), F.col(player).alias("name"), won.cast("int").alias("crowns"), F.transform(F.sequence(F.lit(0), n), card).alias("cards"), tower.alias("supportCards"))
 
     a, b = side("player_a", F.col("label"), F.col("deck_b") % 10 == 0), side("player_b", 1 - F.col("label"), F.lit(False))
     when = F.when(F.col("deck_a") == 7, F.lit("soon")).otherwise(F.date_format("ts", "yyyyMMdd'T'HHmmss'.000Z'"))
-    log = F.struct(when.alias("battleTime"), F.lit("pathOfLegend").alias("type"), F.struct(F.when(F.col("deck_b") % 11 == 0, "Casual").otherwise("Ranked1v1").alias("name")).alias("gameMode"), F.when(F.col("deck_a") == 9, F.array(a, a)).otherwise(F.array(a)).alias("team"), F.array(b).alias("opponent"))
+    log = F.struct(when.alias("battleTime"), F.lit("pathOfLegend").alias("type"), F.struct(F.when(F.col("deck_b") % 11 == 0, "Casual").otherwise("Ranked1v1_NewArena").alias("name")).alias("gameMode"), F.when(F.col("deck_a") == 9, F.array(a, a)).otherwise(F.array(a)).alias("team"), F.array(b).alias("opponent"))
     raw = rows.select(*KEYS, F.concat(F.lit("#"), F.upper(F.lpad(F.col("player_a"), 4, "0"))).alias("tag"), F.to_json(log).alias("raw"))
     logs = written(raw, "live-logs")
-    return written(live.normalized(live.parsed(logs), "tag", [26000000 + i for i in range(8)], [159000000]), "normalized-logs")
+    return written(live.normalized(live.parsed(logs), "tag", [live.Entry(f"Card {i}", f"card-{i}:base", 26000000 + i, 14) for i in range(8)], [live.Entry("Tower", "tower:tower", 159000000, 15)]), "normalized-logs")
 
 
 @query("p25_normalized_logs", BOUTS_SQL + """SELECT member, row_no,
@@ -242,12 +242,20 @@ def normalized_logs(spark, sf_dir):
     return live_logs(spark, sf_dir).select(*KEYS, "rejection", "exclusion", "winner")
 
 
-@query("j19_match_states")
+LOGS_SQL = BOUTS_SQL + """, tagged AS (SELECT *, '#' || upper(lpad(player_a, 4, '0')) AS ta, '#' || upper(lpad(player_b, 4, '0')) AS tb FROM decided WHERE deck_a NOT IN (9, 3, 5, 7)),
+logs AS (SELECT ts, sha256('{"players":["' || least(ta, tb) || '","' || greatest(ta, tb) || '"],"source":"official-api","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z"}') AS event_key,
+  CASE WHEN label = 1 THEN ta ELSE tb END AS winner_tag, CASE WHEN label = 1 THEN tb ELSE ta END AS loser_tag, CASE WHEN deck_b % 11 = 0 THEN 'Casual' ELSE 'Ranked1v1_NewArena' END AS mode,
+  CASE WHEN deck_b % 10 = 0 THEN ta END AS low, CASE WHEN deck_b % 11 = 0 THEN 'unsupported_mode' WHEN deck_b % 10 = 0 THEN 'non_max_level' END AS reason FROM tagged),
+states AS (SELECT event_key, count(DISTINCT {'w': winner_tag, 'm': mode, 'l': low}) AS variants, max(reason) AS reason, count(*) AS seen FROM logs GROUP BY 1)
+"""
+
+
+@query("j19_match_states", LOGS_SQL + "SELECT event_key, CASE WHEN variants > 1 THEN 'conflicted' WHEN reason IS NULL THEN 'eligible' ELSE 'ineligible' END AS state, variants, seen FROM states")
 def match_states(spark, sf_dir):
     return live.match_states(live_logs(spark, sf_dir))
 
 
-@query("s20_export")
+@query("s20_export", LOGS_SQL + "SELECT DISTINCT event_key, ts::TIMESTAMP AS ts, winner_tag, loser_tag, mode FROM logs JOIN states USING (event_key) WHERE variants = 1 AND states.reason IS NULL AND ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1997-01-01'")
 def export(spark, sf_dir):
     return live.export_rows(live_logs(spark, sf_dir), "1996-01-01", "1997-01-01").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
@@ -288,7 +296,7 @@ def consume_once(spark, sf_dir):
     return protocol.unconsumed(o.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("event_key")), o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("event_key")))
 
 
-@query("v15_block_order")
+@query("v15_block_order", BOUTS_SQL + "SELECT row_number() OVER () - 1 AS ordinal, (row_number() OVER () - 1) // 1000 AS block FROM decided")
 def blocks(spark, sf_dir):
     return models.block_order(history.trailing(decided(spark, sf_dir), 0.1), 1, 0, 1000).select("ordinal", "block")
 

@@ -122,10 +122,10 @@ def player_support(spark, sf_dir):
     return rounded(history.player_support(decided(spark, sf_dir)))
 
 
-@query("a46_opponent_components", BOUTS_SQL + """, e AS (SELECT DISTINCT player_a AS x, player_b AS y FROM decided WHERE deck_a < 2), d AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+@query("a46_opponent_components", BOUTS_SQL + """, e AS (SELECT DISTINCT player_a AS x, player_b AS y FROM decided), d AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 r AS (WITH RECURSIVE reach(x, y) AS (SELECT x, x FROM d UNION SELECT reach.x, d.y FROM reach JOIN d ON reach.y = d.x) SELECT x AS player, min(y) AS component FROM reach GROUP BY 1) SELECT * FROM r""")
 def opponent_components(spark, sf_dir):
-    return history.opponent_components(decided(spark, sf_dir).where("deck_a < 2"))
+    return history.opponent_components(decided(spark, sf_dir))
 
 
 @query("a42_support_bins", SUPPORT_SQL + "SELECT CASE WHEN pair_n >= 20 THEN 20 WHEN pair_n >= 4 THEN 4 WHEN pair_n >= 1 THEN 1 ELSE 0 END::INT AS edge, count(*) AS n FROM sup GROUP BY 1")

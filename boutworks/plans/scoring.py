@@ -147,7 +147,7 @@ sl AS (SELECT *, CASE (deck_a_n > 0)::INT + (deck_b_n > 0)::INT WHEN 0 THEN 'bot
   CASE WHEN pair_n > 0 THEN 'seen_pair' ELSE 'unseen_pair' END AS f_pair,
   CASE WHEN least(deck_a_n, deck_b_n) = 0 THEN '0' WHEN least(deck_a_n, deck_b_n) < 4 THEN '1_3' WHEN least(deck_a_n, deck_b_n) < 20 THEN '4_19' ELSE '20_plus' END AS f_support,
   CASE (player_a_n > 0)::INT + (player_b_n > 0)::INT WHEN 0 THEN 'both_unseen' WHEN 1 THEN 'one_unseen' ELSE 'both_seen' END AS f_player,
-  CASE WHEN least(player_a_n, player_b_n) < 10 THEN 0 WHEN least(player_a_n, player_b_n) < 25 THEN 1 ELSE 2 END AS f_history,
+  CASE WHEN least(player_a_n, player_b_n) < 1 THEN 0 WHEN least(player_a_n, player_b_n) < 10 THEN 1 ELSE 2 END AS f_history,
   CASE WHEN p < 0.2 THEN 0 WHEN p < 0.4 THEN 1 WHEN p < 0.6 THEN 2 WHEN p < 0.8 THEN 3 ELSE 4 END AS f_band FROM sup)
 """
 
@@ -164,7 +164,7 @@ def support_lookup(spark, sf_dir):
 
 
 @query("a28_grouping_sets", SUPPORT_SQL + f"""SELECT slice, n, log_loss, brier, accuracy, ties FROM (
-  SELECT coalesce('deck:' || f_deck, 'pair:' || f_pair, 'support:' || f_support, 'probability:band_' || f_band::VARCHAR, 'overall') AS slice, {_SUMMARY}
+  SELECT coalesce('deck:' || f_deck, 'pair:' || f_pair, 'support:support_' || f_support, 'probability:band_' || f_band::VARCHAR, 'overall') AS slice, {_SUMMARY}
   FROM sl GROUP BY GROUPING SETS ((), (f_deck), (f_pair), (f_support), (f_band)))""")
 def grouping_sets(spark, sf_dir):
     return rounded(metrics.grouped(held_out(spark, sf_dir), metrics.families()))
@@ -233,7 +233,7 @@ def rms_scales(spark, sf_dir):
     return rounded(scales(table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))))
 
 
-@query("a51_eligibility", "SELECT u.f AS feature, CASE WHEN count(DISTINCT u.v) <= 1 THEN 'constant' WHEN sum((u.v <> 0)::BIGINT) < 1000 THEN 'insufficient' ELSE 'eligible' END AS status, sum((u.v <> 0)::BIGINT)::BIGINT AS support FROM (SELECT unnest([{'f': 'one', 'v': 1.0::DOUBLE}, {'f': 'rare', 'v': (l_orderkey % 997 = 0)::INT::DOUBLE}, {'f': 'discount', 'v': l_discount}]) AS u FROM lineitem) GROUP BY 1")
+@query("a51_eligibility", "SELECT u.f AS feature, CASE WHEN count(DISTINCT u.v) <= 1 THEN 'constant_column' WHEN sum((u.v <> 0)::BIGINT) < 1000 THEN 'insufficient_support' ELSE 'eligible' END AS status, sum((u.v <> 0)::BIGINT)::BIGINT AS support FROM (SELECT unnest([{'f': 'one', 'v': 1.0::DOUBLE}, {'f': 'rare', 'v': (l_orderkey % 997 = 0)::INT::DOUBLE}, {'f': 'discount', 'v': l_discount}]) AS u FROM lineitem) GROUP BY 1")
 def eligibility(spark, sf_dir):
     from ..operators.models import eligibility as eligible
     from .bouts import table

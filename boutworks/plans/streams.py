@@ -45,17 +45,10 @@ def stream_counters(spark, sf_dir):
 def stream_windows(spark, sf_dir):
     path = _workspace(spark, "windows")
     rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(F.col("ts").cast("timestamp").alias("ts"))
-    collector.run_once(collector.windowed_counts(rows, "ts", "6 hours", "365 days"), path)
+    collector.run_once(collector.windowed_counts(rows, "ts", "6 hours"), path)
     return collector.latest(spark, path, "start").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("t6_gaps", "WITH k AS (SELECT user_id, list(DISTINCT event_type) FILTER (event_id < 500) AS old, list(DISTINCT event_type) FILTER (event_id >= 9900) AS new FROM events GROUP BY 1) SELECT 'u' || user_id::VARCHAR AS tag FROM k WHERE len(old) > 0 AND len(new) > 0 AND NOT list_has_any(old, new)")
-def gaps(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("tag", F.concat(F.lit("u"), F.col("user_id").cast("string")))
-    keys = lambda rows: rows.groupBy("tag").agg(F.collect_set("event_type").alias("keys"))
-    return collector.gaps(keys(e.where("event_id < 500")), keys(e.where("event_id >= 9900")))
-
-
 @query("t6_poll_gaps", "WITH k AS (SELECT user_id, ts::DATE AS day, list(DISTINCT event_type) AS keys FROM events GROUP BY 1, 2), p AS (SELECT *, lag(keys) OVER (PARTITION BY user_id ORDER BY day) AS old FROM k) SELECT 'u' || user_id::VARCHAR AS tag, day FROM p WHERE old IS NOT NULL AND NOT list_has_any(old, keys)")
 def poll_gaps(spark, sf_dir):
     """Each day's log of a user against that user's log before it, over all events."""

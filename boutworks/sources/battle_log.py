@@ -20,8 +20,8 @@ class FetchError(Exception):
 def error_code(status: int) -> str:
     """What an upstream status means for the collector."""
     if status in (401, 403):
-        return "invalid_credentials"
-    return {404: "not_found", 429: "rate_limited"}.get(status, "upstream_unavailable")
+        return "credentials_rejected"
+    return {404: "player_not_found", 429: "rate_limited"}.get(status, "upstream_unavailable")
 
 
 def fetch(base: str, tag: str, token: str = "", timeout: float = 12.0) -> list:
@@ -33,9 +33,9 @@ def fetch(base: str, tag: str, token: str = "", timeout: float = 12.0) -> list:
     except urllib.error.HTTPError as error:
         raise FetchError(error_code(error.code)) from error
     except (OSError, ValueError) as error:
-        raise FetchError("upstream_unavailable" if isinstance(error, OSError) else "malformed_payload") from error
+        raise FetchError("upstream_unavailable" if isinstance(error, OSError) else "invalid_response") from error
     if not isinstance(payload, list):
-        raise FetchError("malformed_payload")
+        raise FetchError("invalid_response")
     return payload
 
 

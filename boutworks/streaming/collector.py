@@ -13,16 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Minutes to wait after a failure, by its code; credentials end the run.
-BACKOFF = {"rate_limited": 15, "upstream_unavailable": 5, "not_found": 24 * 60, "malformed_payload": 60}
-FATAL = {"invalid_credentials"}
+#: Seconds to wait after a refusal for too many requests, and after any other failure; rejected credentials end the run.
+RATE_LIMIT_BACKOFF, FAILURE_BACKOFF = 300.0, 60.0
+FATAL = "credentials_rejected"
 
 
-def next_due(now: float, code: str | None, interval_minutes: float) -> float:
+def next_due(now: float, code: str | None, interval_minutes: float, rate_limit: float = RATE_LIMIT_BACKOFF, failure: float = FAILURE_BACKOFF) -> float:
     """When a tag is due again, in epoch seconds."""
-    if code in FATAL:
+    if code == FATAL:
         raise PermissionError(code)
-    return now + 60 * (BACKOFF.get(code, 5) if code else interval_minutes)
+    if code is None:
+        return now + 60 * interval_minutes
+    return now + (rate_limit if code == "rate_limited" else failure)
 
 
 def due(state: DataFrame, now: str, limit: int) -> DataFrame:
@@ -40,7 +42,10 @@ def poll(due_tags: Iterator[str], fetch: Callable[[str], list], clock: Callable[
         except PermissionError:
             raise
         except Exception as error:
-            yield tag, None, getattr(error, "code", None) or "upstream_unavailable"
+            code = getattr(error, "code", None) or "upstream_unavailable"
+            yield tag, None, code
+            if code == FATAL:
+                raise PermissionError(code) from error
         pause()
 
 
@@ -107,10 +112,11 @@ def counters(observations: DataFrame) -> DataFrame:
     return observations.groupBy(F.coalesce("reason", F.lit("eligible")).alias("name")).agg(F.count("*").alias("n"))
 
 
-def windowed_counts(events: DataFrame, ts: str, size: str, delay: str, slide: str | None = None) -> DataFrame:
-    """Counts over event-time windows with a watermark."""
+def windowed_counts(events: DataFrame, ts: str, size: str, delay: str | None = None, slide: str | None = None) -> DataFrame:
+    """Counts over event-time windows. A delay bounds the state, and drops rows that come later than that; none keeps all."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    return events.withWatermark(ts, delay).groupBy(w).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
+    events = events.withWatermark(ts, delay) if delay else events
+    return events.groupBy(w).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
 def idempotent_sink(path: str) -> Callable[[DataFrame, int], None]:

@@ -92,12 +92,12 @@ def test_ledger_golden(spark):
         ("a", 0): ("valid", [], "a"),
         ("b", 4): ("quarantined", ["duplicate_battle"], "a"),
         ("c", 1): ("unsupported", ["unsupported_mode"], "c"),
-        ("a", 7): ("quarantined", ["conflicting_duplicate"], "a"),
-        ("b", 7): ("quarantined", ["conflicting_duplicate", "unsupported_mode"], "a"),
+        ("a", 7): ("quarantined", ["conflicting_battle"], "a"),
+        ("b", 7): ("quarantined", ["conflicting_battle", "unsupported_mode"], "a"),
     }
     lost = spark.createDataFrame([("a", 3, "invalid", ["malformed_row"])], "member string, row_no long, state string, issues array<string>")
     whole = ledger.with_unadaptable(told, lost)
-    assert {r.state: r.n for r in ledger.state_counts(whole).collect()} == {"valid": 1, "invalid": 1, "unsupported": 1, "quarantined": 3, "unavailable": 0}
+    assert {r.state: r.n for r in ledger.state_counts(whole).collect()} == {"valid": 1, "invalid": 1, "unsupported": 1, "quarantined": 3, "insufficient_data": 0}
     assert ledger.repeated_keys(whole, "member", "row_no").count() == 0
     assert {r.verdict for r in ledger.first_sightings(rows).where("event_key = 'e3'").collect()} == {"accepted", "conflict"}
     with pytest.raises(ValueError):
@@ -300,9 +300,10 @@ def test_swapping_twice_is_nothing(spark):
 
 
 def test_live_log_rejections(spark):
-    cards = [{"id": i, "name": "c", "level": 14, "maxLevel": 14} for i in range(8)]
-    side = lambda tag, crowns, **more: {"tag": tag, "name": "n", "crowns": crowns, "cards": cards, "supportCards": [{"id": 90, "name": "t", "level": 15, "maxLevel": 15}]} | more
-    good = {"battleTime": "20260510T120000.000Z", "type": "pathOfLegend", "gameMode": {"name": "Ranked1v1"}, "team": [side("#AAA", 2)], "opponent": [side("#BBB", 1)]}
+    cards = [{"id": i, "name": f"Card  {i}", "level": 14, "maxLevel": 14} for i in range(8)]
+    tower = {"id": 90, "name": "Tower", "level": 15, "maxLevel": 15}
+    side = lambda tag, crowns, **more: {"tag": tag, "name": "n", "crowns": crowns, "cards": cards, "supportCards": [tower]} | more
+    good = {"battleTime": "20260510T120000.000Z", "type": "pathOfLegend", "gameMode": {"name": "Ranked1v1_NewArena2"}, "team": [side("#AAA", 2)], "opponent": [side("#BBB", 1)]}
     cases = [
         (good, None, None),
         (good | {"team": []}, "team_battle", None),
@@ -311,7 +312,17 @@ def test_live_log_rejections(spark):
         (good | {"opponent": [side("#BBB", 1, cards=[*cards[:7], cards[0]])]}, "repeated_card", None),
         (good | {"opponent": [side("#BBB", 1, cards=[*cards[:7], {"id": 77, "name": "x", "level": 1, "maxLevel": 14}])]}, "unknown_card", None),
         (good | {"team": [side("#AAA", 2, cards=[*cards[:7], cards[7] | {"level": 15}])]}, "invalid_card_level", None),
+        (good | {"team": [side("#AAA", 2, cards=[*cards[:7], cards[7] | {"id": 99}])]}, "invalid_card_id", None),
+        (good | {"team": [side("#AAA", 2, cards=[*cards[:7], cards[7] | {"maxLevel": 15}])]}, "invalid_card_level", None),
+        (good | {"team": [side("#AAA", 2, cards=[*cards[:7], cards[7] | {"evolutionLevel": 1}])]}, None, None),
+        (good | {"team": [side("#AAA", 2, cards=[*cards[:7], cards[7] | {"evolutionLevel": 3}])]}, "unknown_card", None),
+        (good | {"team": [side("#AAA", 2, cards=[*cards[:7], cards[6] | {"heroLevel": 1}])]}, "unknown_card", None),
+        (good | {"team": [side("#AAA", 2, cards=[*cards[:7], "x"])]}, "incomplete_deck", None),
         (good | {"team": [side("#AAA", 2, supportCards=[])]}, "missing_tower", None),
+        (good | {"team": [side("#AAA", 2, supportCards=[tower | {"id": 91}])]}, "unknown_tower", None),
+        (good | {"team": [side("#AAA", 2, supportCards=[tower | {"name": "Other"}])]}, "invalid_tower", None),
+        (good | {"team": [side("#AAA", 2, supportCards=[tower | {"level": 16}])]}, "invalid_tower", None),
+        (good | {"team": [side("#AAA", 2, supportCards=[tower | {"level": None}])]}, "invalid_tower", None),
         (good | {"team": [side("#CCC", 2)]}, "player_not_in_battle", None),
         (good | {"battleTime": "soon"}, "invalid_battle_time", None),
         (good | {"team": [side("#AAA", -1)]}, "invalid_outcome", None),
@@ -321,10 +332,22 @@ def test_live_log_rejections(spark):
         (good | {"team": [side("#AAA", 2, cards=[*cards[:7], cards[7] | {"level": 13}])]}, None, "non_max_level"),
     ]
     raw = spark.createDataFrame([(i, "#aaa", json.dumps(c)) for i, (c, _, _) in enumerate(cases)], "i int, tag string, raw string")
-    got = live.normalized(live.parsed(raw), "tag", list(range(8)), [90]).orderBy("i").collect()
+    catalog = [live.Entry(f"Card {i}", f"card-{i}:base", i, 14) for i in range(8)] + [live.Entry("Evo Card 7", "card-7:evo", 7, 14)]
+    got = live.normalized(live.parsed(raw), "tag", catalog, [live.Entry("Tower", "tower:tower", 90, 15)]).orderBy("i").collect()
     assert [(r.rejection, r.exclusion) for r in got] == [(a, b) for _, a, b in cases]
-    assert got[0].event_key == got[12].event_key
-    assert got[0].variant != got[12].variant
+    plain = [[f"card-{i}:base", 16] for i in range(8)]
+    sides = [{"cards": plain, "tag": t, "tower": "tower:tower", "tower_level": 16} for t in ("#AAA", "#BBB")]
+    told = {"battle_type": "pathOfLegend", "mode": "Ranked1v1_NewArena2", "sides": sides, "timestamp": "2026-05-10T12:00:00Z", "winner_tag": "#AAA"}
+    digest = lambda x: hashlib.sha256(json.dumps(x, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    draw = next(r for r in got if r.exclusion == "draw")
+    assert got[0].event_key == draw.event_key == digest({"source": "official-api", "timestamp": told["timestamp"], "players": ["#AAA", "#BBB"]})
+    assert (got[0].variant, draw.variant) == (digest(told), digest(told | {"winner_tag": None}))
+
+
+def test_json_text_is_ascii(spark):
+    texts = ["", "plain", 'a"b\\c', "\n\r\t\f\b\x01\x1f\x7f", "é日本😀", "$1 \\u"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.json_text(F.col("t")).alias("j")).orderBy("i").collect()
+    assert [r.j for r in got] == [json.dumps(t) for t in texts]
 
 
 def test_protocol(spark, tmp_path):

@@ -99,7 +99,8 @@ def test_log_source(spark, tmp_path):
     got = spark.read.format("battle_log").option("base", f"http://127.0.0.1:{server.server_port}").option("tags", "#AAA,#BBB").load().collect()
     server.shutdown()
     assert sorted((r.tag, r.error) for r in got) == [("#AAA", None), ("#AAA", None), ("#BBB", "rate_limited")] or sorted((r.tag, r.error or "") for r in got) == [("#AAA", ""), ("#AAA", ""), ("#BBB", "rate_limited")]
-    assert battle_log.error_code(403) == "invalid_credentials"
+    assert battle_log.error_code(403) == "credentials_rejected"
+    assert [battle_log.error_code(n) for n in (404, 429, 500)] == ["player_not_found", "rate_limited", "upstream_unavailable"]
     (tmp_path / "AAA.json").write_text(json.dumps([{"type": "x"}]))
     assert battle_log.from_folder(spark, str(tmp_path)).first().tag == "#AAA"
 
@@ -139,10 +140,19 @@ def test_polling():
 
     got = list(collector.poll(iter("abcd"), fetch, lambda: now[0], 3, lambda: None))
     assert got == [("a", ["a"], None), ("b", None, "rate_limited"), ("c", ["c"], None)]
-    assert collector.next_due(0, "rate_limited", 10) == 900
+    assert collector.next_due(0, "rate_limited", 10) == 300
+    assert collector.next_due(0, "invalid_response", 10) == collector.next_due(0, "player_not_found", 10) == 60
     assert collector.next_due(0, None, 10) == 600
     with pytest.raises(PermissionError):
-        collector.next_due(0, "invalid_credentials", 10)
+        collector.next_due(0, "credentials_rejected", 10)
+
+    def refused(tag):
+        raise battle_log.FetchError("credentials_rejected")
+
+    pass_ = collector.poll(iter("ab"), refused, lambda: 0, 3, lambda: None)
+    assert next(pass_) == ("a", None, "credentials_rejected")
+    with pytest.raises(PermissionError):
+        next(pass_)
 
 
 def test_due_and_gaps(spark):
