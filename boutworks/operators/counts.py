@@ -25,11 +25,17 @@ def swapped(rows: DataFrame, pairs: tuple[tuple[str, str], ...]) -> DataFrame:
     return rows.withColumns(turn | {"label": 1 - F.col("label")})
 
 
+def opened(c: str, name: str) -> Column:
+    """A row an item. The outer form, since for the plain one the optimizer adds a check of the array's size to the scan,
+    where it makes decks and their orientation once more for each row."""
+    return F.explode_outer(c).alias(name)
+
+
 def item_counts(rows: DataFrame, items_a: str = "items_a", items_b: str = "items_b") -> DataFrame:
     """(item, wins, trials) over both sides; side B is credited with 1 - label."""
     side = lambda c, won: F.struct(F.col(c).alias("items"), won.cast("long").alias("won"))
     long = rows.select(F.explode(F.array(side(items_a, F.col("label")), side(items_b, 1 - F.col("label")))).alias("s"))
-    return long.select(F.explode("s.items").alias("item"), "s.won").groupBy("item").agg(F.sum("won").alias("wins"), F.count("*").alias("trials"))
+    return long.select(opened("s.items", "item"), "s.won").where("item is not null").groupBy("item").agg(F.sum("won").alias("wins"), F.count("*").alias("trials"))
 
 
 def matchup_counts(rows: DataFrame, a: str = "deck_a", b: str = "deck_b") -> DataFrame:
@@ -39,8 +45,8 @@ def matchup_counts(rows: DataFrame, a: str = "deck_a", b: str = "deck_b") -> Dat
 def pair_counts(rows: DataFrame, items_a: str = "items_a", items_b: str = "items_b") -> DataFrame:
     """(item, against, wins, trials) for each directed pair of opposing items; equal decks are summed before they are opened."""
     decks = rows.groupBy(items_a, items_b).agg(F.sum(F.col("label").cast("long")).alias("won"), F.count("*").alias("n"))
-    one = decks.select(F.explode(items_a).alias("item"), F.col(items_b).alias("others"), "won", "n")
-    both = one.select("item", F.explode("others").alias("against"), "won", "n")
+    one = decks.select(opened(items_a, "item"), F.col(items_b).alias("others"), "won", "n")
+    both = one.select("item", opened("others", "against"), "won", "n").where("item is not null and against is not null")
     return both.groupBy("item", "against").agg(F.sum("won").alias("wins"), F.sum("n").alias("trials"))
 
 
@@ -61,11 +67,6 @@ def item_effects(counts: DataFrame, alpha: float = 1.0) -> DataFrame:
 MAP_ITEMS = 2_000
 
 
-def effect_map(effects: DataFrame, key: str = "item", value: str = "effect") -> dict:
-    """A catalog-sized table as a literal map: items are a fixed dimension."""
-    return {r[key]: r[value] for r in effects.collect()}
-
-
 def _literal(table: dict, kind: str) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.create_map().cast(f"map<{kind}>")
 
@@ -76,8 +77,9 @@ def _plus(values: Column) -> Column:
 
 def item_scores(rows: DataFrame, effects: DataFrame, items_a: str = "items_a", items_b: str = "items_b") -> DataFrame:
     """Adds score = sum of A's effects - sum of B's (unknown items count nothing) and probability."""
-    if effects.count() <= MAP_ITEMS:
-        known = _literal(effect_map(effects), "int,double")
+    few = effects.select("item", "effect").limit(MAP_ITEMS + 1).collect()
+    if len(few) <= MAP_ITEMS:
+        known = _literal({r.item: r.effect for r in few}, "int,double")
         total = lambda c: _plus(F.transform(F.col(c), lambda i: F.coalesce(F.try_element_at(known, i), F.lit(0.0))))
         out = rows.withColumn("score", total(items_a) - total(items_b))
     else:
@@ -97,8 +99,8 @@ def pair_scores(rows: DataFrame, effects: DataFrame, weights: DataFrame, keys: t
     """
     single = item_scores(rows, effects, items_a=items_a, items_b=items_b)
     decks = rows.select(F.col(items_a).alias("_a"), F.col(items_b).alias("_b")).distinct()
-    one = decks.select("_a", "_b", F.explode("_a").alias("item"))
-    both = one.select("_a", "_b", "item", F.explode("_b").alias("against")).join(weights, ["item", "against"], "left")
+    one = decks.select("_a", "_b", opened("_a", "item"))
+    both = one.select("_a", "_b", "item", opened("_b", "against")).join(weights, ["item", "against"], "left")
     summed = both.groupBy("_a", "_b").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("w"))
     out = single.join(summed, (F.col(items_a) == F.col("_a")) & (F.col(items_b) == F.col("_b")), "left")
     out = out.withColumn("pair_score", F.col("score") + F.coalesce("w", F.lit(0.0)) / scale)
