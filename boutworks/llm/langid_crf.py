@@ -28,7 +28,7 @@ from ._spark import kept, slices, small_batches
 from ._text import LOWER, WORDLIKE, U, buffer, mix, word_hashes, word_spans
 
 #: Training documents a language, and bytes of them in all: whole documents, the first by hash that fit.
-SAMPLE_ROWS, SAMPLE_BYTES = 200, 4 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 100, 4 << 20
 LEXICON_WORDS = 500
 BUCKETS = 1 << 16
 LENGTH = 40
