@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import digests, history, live, mechanics, models, protocol
+from ..operators import channels, digests, history, live, mechanics, models, protocol
 from ..sources.shared import written
 from .bouts import BOUTS_SQL, TRAIN_END, VALIDATION_END, decided, table
 from .registry import query, rounded
 from .scoring import ORIENTED_SQL, oriented
 
 #: A made-up catalog by arithmetic on an item's number; every 17th lacks its flags.
-_FLAGS = {"airborne": 5, "multi_unit": 4, "building_targeting": 7, "targets_air": 3, "spell": 6, "spell_damage": 12, "spell_control": 18, "area_damage": 4, "targets_ground": 2, "defensive_building": 9, "building_disruption": 12, "ordinary_cycle": 0, "air_conditional": 8}
+_FLAGS = {"airborne": 5, "multi_unit": 4, "building_targeting": 7, "targets_air": 3, "spell": 6, "spell_damage": 12, "spell_control": 18, "area_damage": 4, "targets_ground": 2, "defensive_building": 9, "building_disruption": 12, "ordinary_cycle": 0}
 
 
 def entry(i: Column) -> Column:
@@ -119,12 +119,147 @@ def pattern_features(spark, sf_dir):
     return rounded(mechanics.features(decks(spark, sf_dir), "da", "db", (mechanics.patterns,), KEYS))
 
 
-@query("m22_m24_air_form_tower_features")
-def air_form_tower(spark, sf_dir):
-    rows = decks(spark, sf_dir)
-    tower = F.struct(*[F.lit("tower").alias("kind") if f.name == "kind" else (F.lit(True) if f.name in ("targets_air", "targets_ground") else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema["da"].dataType.elementType.fields])
-    rows = rows.withColumns({"ta": F.concat("da", F.array(tower)), "tb": F.concat("db", F.array(tower))})
-    return rounded(mechanics.features(rows, "ta", "tb", (mechanics.conditional_air, mechanics.forms, mechanics.towers), KEYS))
+#: Entries of a made-up catalog with what `channels` reads, by arithmetic on an item's number i that both engines know.
+_ITEM = {n: f"CASE WHEN i % 17 <> 0 THEN i % {k} = 0 END" for n, k in {
+    "airborne": 5, "multi_unit": 4, "building_targeting": 7, "targets_air": 3, "spell": 6, "spell_damage": 12, "spell_control": 18, "area_damage": 4, "targets_ground": 2, "defensive_building": 9,
+    "building_disruption": 12, "conditional_airborne": 2, "conditional_air_damage": 1, "conditional_air_control": 3, "conditional_air_reflection": 5, "conditional": 4, "shield": 5, "spawns_units": 3, "control": 7,
+}.items()} | {
+    "identity": "concat('c', i, CASE WHEN i % 7 = 1 THEN ':champion' ELSE ':base' END)",
+    "base_identity": "CASE WHEN i % 3 = 0 THEN concat('b', i) END",
+    "airborne_mode": "CASE i % 4 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'air' ELSE 'ground' END",
+    "airborne_condition": "CASE WHEN i % 8 <> 4 THEN 'available_elixir_at_least_6' END",
+    "targets_air_condition": "'available_elixir_at_least_6'",
+    "conditional_air_trigger": "CASE WHEN i % 7 = 0 THEN NULL WHEN i % 4 = 0 THEN 'available_elixir_at_least_6' ELSE 'paid_ability' END",
+    "conditional_air_response_scope": "CASE WHEN i % 9 = 0 THEN NULL WHEN i % 4 = 0 THEN 'flying_form_attack' WHEN i % 2 = 0 THEN 'moving_area' ELSE 'enhanced_attack_area' END",
+    "conditional_air_control_kind": "CASE WHEN i % 10 = 9 THEN NULL WHEN i % 2 = 0 THEN 'pull' ELSE 'slow' END",
+    "ability_usage": "CASE WHEN i % 5 <> 4 THEN 'single_use_per_deployment' END",
+    "ability_cost": "CASE WHEN i % 6 <> 5 THEN CAST(i % 5 AS DOUBLE) END",
+    "activation_cycles": "CASE WHEN i % 3 <> 1 THEN CAST(i % 2 + 1 AS DOUBLE) END",
+    "not_cycles": "i % 6 = 1",
+}
+#: Three towers, by the number t.
+_TOWER = {
+    "identity": "concat('tower', t)", "targets_air": "t < 2", "targets_ground": "CASE WHEN t > 0 THEN true END", "area_damage": "t = 2", "tower_support": "t = 1", "burst": "CASE WHEN t < 2 THEN false END",
+    "damage_per_hit": "CAST(50 + t AS DOUBLE)", "attack_interval": "CASE WHEN t < 2 THEN CAST(2 AS DOUBLE) END", "recharge": "CASE WHEN t = 1 THEN CAST(3 AS DOUBLE) END", "not_recharge": "t = 0",
+}
+
+
+def conditional_decks(spark, sf_dir):
+    """Both decks of a row as nine entries: eight cards and a tower."""
+    made = oriented(spark, sf_dir).select(*KEYS, "items_a", "items_b")
+    card, tower = ("named_struct(" + ", ".join(f"'{n}', {e}" for n, e in of.items()) + ")" for of in (_ITEM, _TOWER))
+    names = sorted({*_ITEM, *_TOWER} - {"not_cycles", "not_recharge"})
+    numbers = {"ability_cost", "activation_cycles", *channels.TOWER_NUMBERS}
+    kinds = {n: "double" if n in numbers else "string" if n in _ITEM and "'" in _ITEM[n] else "boolean" for n in names}
+
+    def whole(e: Column, of: dict, kind: str, flag: str, field: str) -> Column:
+        gone = F.when(e[flag], F.array(F.lit(field))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.lit(kind).alias("kind"), gone.alias("inapplicable"), *[(e[n] if n in of else F.lit(None)).cast(kinds[n]).alias(n) for n in names])
+
+    for side in ("a", "b"):
+        eight = F.transform(F.expr(f"transform(items_{side}, i -> {card})"), lambda e: whole(e, _ITEM, "card", "not_cycles", "activation_cycles"))
+        ninth = F.transform(F.expr(f"transform(array(items_{side}[0] % 3), t -> {tower})"), lambda e: whole(e, _TOWER, "tower", "not_recharge", "recharge"))
+        made = made.withColumn(f"d{side}", F.concat(eight, ninth))
+    return made.drop("items_a", "items_b")
+
+
+def _struct_sql(of: dict) -> str:
+    return "{" + ", ".join(f"'{n}': {e}" for n, e in of.items()) + "}"
+
+
+_WHOLE = "(e.airborne_mode = 'hybrid' AND coalesce(e.conditional_airborne AND e.conditional_air_damage AND NOT e.spell AND e.airborne_condition = 'available_elixir_at_least_6' AND e.targets_air_condition = 'available_elixir_at_least_6' AND e.conditional_air_trigger = 'available_elixir_at_least_6' AND e.conditional_air_response_scope = 'flying_form_attack', false))"
+_TOLD = f"(e.conditional_air_trigger IS NOT NULL AND e.conditional_air_response_scope IS NOT NULL AND (e.conditional_air_trigger <> 'paid_ability' OR e.ability_usage IS NOT NULL) AND (e.airborne_mode <> 'hybrid' OR {_WHOLE}))"
+_HAS = {"airborne": f"e.conditional_airborne AND {_TOLD}", "air_damage": f"e.conditional_air_damage AND {_TOLD}", "air_control": f"e.conditional_air_control AND {_TOLD} AND e.conditional_air_control_kind IS NOT NULL", "air_reflection": f"e.conditional_air_reflection AND {_TOLD}"}
+_HAS_SQL = ", ".join(f"has_{n} := coalesce({sql}, false)" for n, sql in _HAS.items()) + f", whole := {_WHOLE}, in_form := (e.base_identity IS NOT NULL OR e.identity LIKE '%:champion'), " + ", ".join(f"meets_{f} := coalesce({sql}, false)" for f, sql in _ANSWER.items())
+CONDITIONAL_SQL = ORIENTED_SQL + ", dk3 AS MATERIALIZED (SELECT member, row_no, " + ", ".join(f"list_transform(list_transform(items_{s}, lambda i: {_struct_sql(_ITEM)}), lambda e: struct_insert(e, {_HAS_SQL})) AS d{s}, list_transform([items_{s}[1] % 3], lambda t: {_struct_sql(_TOWER)})[1] AS t{s}" for s in "ab") + " FROM items)\n"
+
+
+def _air(a: str, b: str, _t: str) -> dict[str, str]:
+    """Column names and SQL of the conditional-air features."""
+    common, conditional = _n(b, "e.airborne"), _n(b, "e.has_airborne AND NOT coalesce(e.airborne, false)")
+    any_response, active = "(e.has_air_damage OR e.has_air_control OR e.has_air_reflection)", "(e.has_airborne OR e.has_air_damage OR e.has_air_control OR e.has_air_reflection)"
+    out = {}
+    for n in _HAS:
+        out |= {n: _n(a, f"e.has_{n}"), f"{n}__unavailable": _n(a, f"e.conditional_{n} IS NULL OR (e.conditional_{n} AND NOT e.has_{n})")}
+        if n != "airborne":
+            out |= {f"{n}__opposing_ordinary_threats": f"{_n(a, f'e.has_{n}')} * {common}", f"{n}__opposing_conditional_threats": f"{_n(a, f'e.has_{n}')} * {conditional}"}
+    out |= {f"trigger__{v}": _n(a, f"{active} AND e.conditional_air_trigger = '{v}'") for v in ("available_elixir_at_least_6", "paid_ability")}
+    out |= {f"scope__{v}": _n(a, f"{active} AND e.conditional_air_response_scope = '{v}'") for v in ("departure_bomb_area", "eligible_incoming_projectiles", "enhanced_attack_area", "flying_form_attack", "moving_area", "selected_troop_ground_only_splash")}
+    out |= {f"control__{v}": _n(a, f"e.has_air_control AND e.conditional_air_control_kind = '{v}'") for v in ("knockback", "pull", "slow", "throw_and_stun")}
+    paid = f"{active} AND e.conditional_air_trigger = 'paid_ability'"
+    out["additional_response_cards"] = _n(a, f"{any_response} AND NOT e.meets_airborne AND (coalesce(NOT e.targets_air, false) OR e.whole)")
+    out["ability_cost"] = f"coalesce(list_sum(list_transform(list_filter({a}, lambda e: coalesce({paid}, false)), lambda e: e.ability_cost)), 0)"
+    out["ability_cost_missing"] = _n(a, f"{paid} AND e.ability_cost IS NULL")
+    rising = _n(a, "e.has_airborne AND NOT coalesce(e.airborne, false)")
+    out |= {f"airborne__opposing_{k}_answers": f"{rising} * least({_n(b, f'{t} AND e.meets_airborne')}, 2)" for k, t in (("deployable", "NOT e.spell"), ("spell", "e.spell"))}
+    return {f"conditional_air__{n}": sql for n, sql in out.items()}
+
+
+def _forms(a: str, b: str, _t: str) -> dict[str, str]:
+    """Column names and SQL of the form features."""
+    out = {}
+    for d in ("targets_air", "area_damage", "shield", "spawns_units", "control", "conditional"):
+        n = _n(a, f"e.in_form AND e.{d}")
+        out |= {d: n, f"{d}__opposing_multi_unit": f"{n} * {_n(b, 'e.multi_unit')}", f"{d}__unknown": _n(a, f"e.in_form AND e.{d} IS NULL")}
+    for d, known in (("activation_cycles", "NOT e.not_cycles"), ("ability_cost", "true")):
+        out |= {d: f"coalesce(list_sum(list_transform(list_filter({a}, lambda e: e.in_form), lambda e: e.{d})), 0)", f"{d}__unknown": _n(a, f"e.in_form AND e.{d} IS NULL AND {known}")}
+    for f in ("airborne", "multi_unit", "building_targeting"):
+        troops, spells, n = _n(b, f"NOT e.spell AND e.meets_{f}"), _n(b, f"e.spell AND e.meets_{f}"), _n(a, f"e.in_form AND e.{f}")
+        out |= {f"{f}__unanswered_form_exposure": f"{n} * ({troops} + {spells} = 0)::INT", f"{f}__shared_response_pressure": f"{n} * ({_n(a, f'e.{f}')} > 1 AND {troops} = 1)::INT"}
+    return {f"form__{n}": sql for n, sql in out.items()}
+
+
+def _towers(a: str, b: str, t: str) -> dict[str, str]:
+    """Column names and SQL of the tower features with numbers."""
+    met = {f: _n(b, f"e.{f}") for f in ("airborne", "multi_unit", "building_targeting")} | {"own_troops": f"(8 - {_n(a, 'e.spell')})"}
+    out = {}
+    for d in ("targets_air", "targets_ground", "area_damage", "tower_support", "burst"):
+        out |= {f"{d}__{f}": f"coalesce({t}.{d}, false)::INT * {n}" for f, n in met.items()} | {f"{d}__unknown": f"({t}.{d} IS NULL)::INT"}
+    out |= {f"{f}__unknown": _n(b, f"e.{f} IS NULL") for f in ("airborne", "multi_unit", "building_targeting")}
+    for d in ("damage_per_hit", "attack_interval", "recharge"):
+        out |= {f"{d}__{f}": f"coalesce({t}.{d}, 0) * {n}" for f, n in met.items()}
+        out[f"{d}__not_applicable"] = f"({t}.not_recharge)::INT" if d == "recharge" else "0"
+    return {f"tower__{n}": sql for n, sql in out.items()}
+
+
+def _differences(f, having: str = "") -> str:
+    there, back = f("da", "db", "ta"), f("db", "da", "tb")
+    return "SELECT member, row_no, " + ", ".join(f"round(({there[n]} - ({back[n]}))::DOUBLE, 6) + 0.0 AS {n}" for n in there) + f" FROM dk3 {having}"
+
+
+@query("m22_conditional_air_features", CONDITIONAL_SQL + _differences(_air))
+def conditional_air(spark, sf_dir):
+    rows = conditional_decks(spark, sf_dir).withColumns({d: channels.told(F.col(d)) for d in ("da", "db")})
+    return rounded(mechanics.features(rows, "da", "db", (channels.conditional_air,), KEYS))
+
+
+@query("m23_form_features", CONDITIONAL_SQL + _differences(_forms))
+def form_features(spark, sf_dir):
+    return rounded(mechanics.features(conditional_decks(spark, sf_dir), "da", "db", (channels.forms,), KEYS))
+
+
+@query("m24_tower_features", CONDITIONAL_SQL + _differences(_towers, "WHERE ta.attack_interval IS NOT NULL AND tb.attack_interval IS NOT NULL"))
+def tower_features(spark, sf_dir):
+    """Rows whose towers lack a number are refused, as the gap query lists them."""
+    rows = conditional_decks(spark, sf_dir).where(channels.tower_gap(F.col("da")[8]).isNull() & channels.tower_gap(F.col("db")[8]).isNull())
+    return rounded(mechanics.features(rows, "da", "db", (channels.quantitative_towers,), KEYS))
+
+
+@query("m24_tower_gaps", CONDITIONAL_SQL + "SELECT t.identity || '/' || CASE WHEN t.attack_interval IS NULL THEN 'attack_interval' ELSE 'recharge' END AS gap, count(*) AS n FROM (SELECT unnest([ta, tb]) AS t FROM dk3) WHERE t.attack_interval IS NULL OR (t.recharge IS NULL AND NOT t.not_recharge) GROUP BY 1")
+def tower_gaps(spark, sf_dir):
+    """What the towers of rows lack."""
+    towers = conditional_decks(spark, sf_dir).select(F.explode(F.array(F.col("da")[8], F.col("db")[8])).alias("t"))
+    return towers.select(channels.tower_gap(F.col("t")).alias("gap")).where("gap IS NOT NULL").groupBy("gap").agg(F.count("*").alias("n"))
+
+
+@query("v11_channels", CONDITIONAL_SQL + "SELECT identity, " + ", ".join(f"sum(has_{n}::INT)::BIGINT AS {n}" for n in _HAS) + ", sum((airborne_mode = 'hybrid' AND NOT whole)::INT)::BIGINT AS broken_hybrids FROM (SELECT unnest(da, recursive := true) FROM dk3) GROUP BY 1")
+def channel_counts(spark, sf_dir):
+    """How often each entry holds each conditional channel, and is a hybrid with issues."""
+    e = conditional_decks(spark, sf_dir).select(F.explode(F.slice("da", 1, 8)).alias("e")).select("e.*")
+    x = F.struct(*[F.col(c) for c in e.columns])
+    has = [F.sum(channels.has_channel(x, c).cast("long")).alias(c.removeprefix("conditional_")) for c in channels.CAPABILITIES]
+    broken = F.sum(((F.col("airborne_mode") == "hybrid") & (F.size(channels.hybrid_issues(x)) > 0)).cast("long")).alias("broken_hybrids")
+    return e.groupBy("identity").agg(*has, broken)
 
 
 _ROLES = ("spell", "building")

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from boutworks.functions import scalars as S
-from boutworks.operators import adapt, counts, digests, history, ledger, live, mechanics, metrics, models, protocol, splits
+from boutworks.operators import adapt, channels, counts, digests, history, ledger, live, mechanics, metrics, models, protocol, splits
 
 UTC = dt.timezone.utc
 T0 = dt.datetime(2026, 5, 10, 12, 0, tzinfo=UTC)
@@ -253,13 +253,44 @@ def test_features_are_antisymmetric(spark):
     rng = random.Random(2)
     rows = [(i, rng.sample(range(104), 8), rng.sample(range(104), 8)) for i in range(60)]
     df = spark.createDataFrame(rows, "i int, a array<int>, b array<int>").select("i", F.transform("a", entry).alias("a"), F.transform("b", entry).alias("b"))
-    every = (mechanics.response, mechanics.cycle, mechanics.patterns, mechanics.conditional_air, mechanics.forms, mechanics.towers)
+    every = (mechanics.response, mechanics.cycle, mechanics.patterns)
     there = {r.i: r for r in mechanics.features(df, "a", "b", every, ("i",)).collect()}
     back = {r.i: r for r in mechanics.features(df, "b", "a", every, ("i",)).collect()}
     for i in there:
         assert [-x for x in there[i][1:]] == pytest.approx(list(back[i][1:]))
 
 
+def test_conditional_channels_by_hand(spark):
+    names = {c: "boolean" for c in ("airborne", "spell", "targets_air", "spell_damage", "spell_control", *channels.CAPABILITIES)}
+    words = ("airborne_mode", "airborne_condition", "targets_air_condition", "conditional_air_trigger", "conditional_air_response_scope", "conditional_air_control_kind", "ability_usage")
+    schema = "kind string, inapplicable array<string>, ability_cost double, " + ", ".join([f"{n} {t}" for n, t in names.items()] + [f"{w} string" for w in words])
+    rising = {k: v for k, v in channels.HYBRID.items()}
+    paid = {"conditional_air_control": True, "conditional_air_trigger": "paid_ability", "conditional_air_response_scope": "moving_area", "conditional_air_control_kind": "pull", "ability_usage": "single_use_per_deployment", "targets_air": False}
+    deck = [
+        rising,
+        rising | {"airborne_condition": None},  # a hybrid that is not whole has no channel
+        paid | {"ability_cost": 2.0},
+        paid,  # its cost is missing
+        paid | {"ability_usage": None},
+        paid | {"kind": "tower"},
+        {"inapplicable": ["conditional_airborne"]},
+        {},
+    ]
+    base = {"kind": "card", "inapplicable": None, "ability_cost": None} | dict.fromkeys([*names, *words])
+    d = spark.createDataFrame([([tuple((base | e).values()) for e in deck], [tuple(base.values())] * 8)], f"a array<struct<{schema}>>, b array<struct<{schema}>>")
+    d = d.select(*[channels.told(F.col(c)).alias(c) for c in "ab"])
+    got = d.select(*[v.alias(k.replace(".", "__")) for k, v in channels.conditional_air(F.col("a"), F.col("b")).items()]).first().asDict()
+    want = {"airborne": 1, "airborne__unavailable": 6, "air_damage": 1, "air_control": 2, "air_control__unavailable": 6, "trigger__paid_ability": 2, "scope__moving_area": 2, "scope__flying_form_attack": 1, "control__pull": 2}
+    want |= {"additional_response_cards": 3, "ability_cost": 2, "ability_cost_missing": 1}
+    assert {k: got[f"conditional_air__{k}"] for k in want} == want
+    issues = d.select(F.transform("a", channels.hybrid_issues).alias("x")).first().x
+    assert issues[0] == [] and issues[1] == ["airborne_condition"] and len(issues[7]) == len(channels.HYBRID)
+    asked = d.select(F.transform("a", lambda e: channels.channel_fields(e, "conditional_air_control", cost=True)).alias("x")).first().x
+    assert asked[2][-2:] == ["ability_usage", "ability_cost"] and len(asked[0]) == 4
+    with pytest.raises(ValueError):
+        channels.channel_fields(F.col("a"), "flying")
+
+
 def test_return_cost_by_hand(spark):
     from boutworks.plans.features import entry
 
