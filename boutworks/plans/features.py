@@ -395,6 +395,18 @@ def export(spark, sf_dir):
     return live.export_rows(live_logs(spark, sf_dir), "1996-01-01", "1997-01-01").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+_SNAPSHOT_CARDS = ",".join(f"card-{i}" for i in range(8))
+
+
+@query("s32_snapshot_rows", LOGS_SQL + f"""SELECT event_key, ts::TIMESTAMP AS "timestamp", 'side_a_win' AS outcome, winner_tag AS side_a_player_id, loser_tag AS side_b_player_id, '{_SNAPSHOT_CARDS}' AS side_a_card_ids, 'base' AS side_b_card_forms,
+ 128::BIGINT AS side_a_card_levels, sha256('{"|".join(f"card-{i}:base:16" for i in range(8))}') AS side_b_deck_hash, 'tower:tower' AS side_a_tower, 16 AS side_b_tower_level, row_number() OVER (ORDER BY ts, event_key) - 1 AS row_number
+ FROM (SELECT DISTINCT event_key, ts, winner_tag, loser_tag FROM logs JOIN states USING (event_key) WHERE variants = 1 AND states.reason IS NULL AND ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1997-01-01')""")
+def snapshot_rows(spark, sf_dir):
+    rows, _ = live.snapshot_rows(live_logs(spark, sf_dir), "1996-01-01", "1997-01-01", "v", "era", "member")
+    levels = F.aggregate("side_a_card_levels", F.lit(0).cast("long"), lambda n, x: n + x).alias("side_a_card_levels")
+    return rows.select("event_key", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "outcome", "side_a_player_id", "side_b_player_id", F.array_join("side_a_card_ids", ",").alias("side_a_card_ids"), F.array_join(F.array_distinct("side_b_card_forms"), ",").alias("side_b_card_forms"), levels, "side_b_deck_hash", "side_a_tower", "side_b_tower_level", "row_number")
+
+
 @query("p36_counter_report", "SELECT coalesce(a.name, b.name) AS name, (coalesce(b.n, 0) - coalesce(a.n, 0))::BIGINT AS change FROM (SELECT event_type AS name, count(*) AS n FROM events WHERE event_id < 1000 GROUP BY 1) a FULL JOIN (SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1) b ON a.name = b.name")
 def counter_report(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))

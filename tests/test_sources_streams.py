@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boutworks.sources import battle_log, cache, files
+from boutworks.sources import battle_log, cache, catalogs, files, snapshot
 from boutworks.streaming import collector
 
 UTC = dt.timezone.utc
@@ -56,6 +56,68 @@ def test_jsonl_lines_manifest(spark, tmp_path):
     assert files.hash_files(spark, str(tmp_path / "m.json")).first().sha256 == digest
 
 
+def test_catalogs(spark, tmp_path):
+    body = {"catalog_version": "v", "entries": [[0, "Knight", "knight", "base"], [1, "Evo Knight", "knight", "evolution"], [2, "Mirror", "mirror", "base"], [3, "Queen", "queen", "champion"]]}
+    (tmp_path / "c.json").write_text(json.dumps(body))
+    digest = files.hash_files(spark, str(tmp_path / "c.json")).first().sha256
+    assert catalogs.pinned(str(tmp_path / "c.json"), digest) == body
+    with pytest.raises(ValueError):
+        catalogs.pinned(str(tmp_path / "c.json"), "0" * 64)
+    cards = catalogs.cards(spark, body)
+    assert [r.identity for r in cards.orderBy("source_id").collect()] == ["knight:base", "knight:evolution", "mirror:base", "queen:champion"]
+    first, *rest = body["entries"]
+    bad = ([], [[1, *first[1:]]], [[True, *first[1:]]], [[0, " ", "knight", "base"]], [first, [1, "Knight", "mirror", "base"]], [first, [1, "x", "knight", "base"]], [[0, "x", "knight", "evolution"]], [[0, "x", "Knight", "base"]], [[0, "x", "knight", "odd"]])
+    for entries in bad:
+        with pytest.raises(ValueError):
+            catalogs.cards(spark, body | {"entries": entries})
+    with pytest.raises(ValueError):
+        catalogs.cards(spark, body | {"catalog_version": " "})
+
+    api = {"cards": {c: {"api_id": 26 + i, "max_api_level": 16} for i, c in enumerate(("knight", "mirror", "queen"))}}
+    ids = catalogs.api_ids(spark, api, cards)
+    entries = catalogs.card_entries(cards, ids)
+    assert [(e.identity, e.api_id) for e in entries] == [("knight:base", 26), ("knight:evolution", 26), ("mirror:base", 27), ("queen:champion", 28)]
+    for change in ({"queen": None}, {"queen": {"api_id": 26, "max_api_level": 16}}, {"queen": {"api_id": 28, "max_api_level": 17}}, {"extra": {"api_id": 30, "max_api_level": 16}}):
+        with pytest.raises(ValueError):
+            catalogs.api_ids(spark, {"cards": api["cards"] | change}, cards)
+    with pytest.raises(ValueError):
+        catalogs.api_ids(spark, {"cards": {"knight": api["cards"]["knight"]}}, cards)
+
+    tower = {"tower_id": "princess", "name": "Princess", "api_id": 159, "max_api_level": 16}
+    assert [e.identity for e in catalogs.tower_entries(catalogs.towers(spark, {"catalog_version": "v", "entries": [tower]}))] == ["princess:tower"]
+    for other in (tower, tower | {"max_api_level": 15}, tower | {"tower_id": "other", "api_id": 160, "name": " PRINCESS "}, tower | {"api_id": 0}):
+        with pytest.raises(ValueError):
+            catalogs.towers(spark, {"catalog_version": "v", "entries": [tower, other]})
+
+    told = {"attribute_version": "v", "summary_columns": catalogs.SUMMARY, "cards": {"knight": {"elixir": 3, "roles": ["cycle"]}, "queen": {"elixir": 5, "roles": ["air_defense", "bait"]}, "mirror": {"elixir": None, "roles": ["spell"]}}}
+    table = catalogs.attributes(spark, told)
+    for change in ({"mirror": {"elixir": 1, "roles": []}}, {"knight": {"elixir": None, "roles": []}}, {"knight": {"elixir": 10, "roles": []}}, {"knight": {"elixir": 3, "roles": ["odd"]}}, {"knight": {"elixir": 3, "roles": ["bait", "bait"]}}):
+        with pytest.raises(ValueError):
+            catalogs.attributes(spark, told | {"cards": told["cards"] | change})
+    decks = spark.createDataFrame([(1, ["knight:evolution", "queen:champion", "mirror:base"]), (2, ["mirror:base"]), (3, []), (4, None)], "id int, ids array<string>")
+    got = {r.id: tuple(r)[1:] for r in catalogs.deck_summaries(decks, "id", "ids", table).collect()}
+    assert got == {1: pytest.approx((13 / 3, 0, 0, 1, 1, 1, 1)), 2: (1, 0, 0, 1, 0, 0, 0), 3: (0,) * 7, 4: (0,) * 7}
+    with pytest.raises(Exception, match="no attributes of odd:base"):
+        catalogs.deck_summaries(spark.createDataFrame([(1, ["odd:base"])], decks.schema), "id", "ids", table).collect()
+
+
+def test_snapshot_export(spark, small, tmp_path):
+    from boutworks.plans.features import live_logs
+
+    logs, path = live_logs(spark, small), str(tmp_path / "snapshot.jsonl")
+    got = snapshot.export_matches(logs, path, "1992-01-01", "1999-01-01", "v1", "era")
+    rows = spark.read.json(path)
+    assert rows.count() == got["written"] > 0 and got["skipped_mode"] == 0
+    assert sorted(r.row_number for r in rows.collect()) == list(range(got["written"]))
+    assert {r.archive_member for r in rows.collect()} == {"snapshot.jsonl"} and set(rows.first().side_a_card_forms) == {"base"}
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        snapshot.export_matches(logs, path, "1992-01-01", "1999-01-01", "v1", "era")
+    with pytest.raises(ValueError):
+        snapshot.export_matches(logs, path + "2", "1980-01-01", "1981-01-01", "v1", "era")
+    with pytest.raises(ValueError):
+        snapshot.export_matches(logs, path + "2", "1992-01-01", "1999-01-01", " ", "era")
+
+
 def test_archives(tmp_path):
     path = tmp_path / "a.zip"
     with zipfile.ZipFile(path, "w") as z:
