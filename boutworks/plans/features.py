@@ -80,6 +80,25 @@ def _cycle(a: str, b: str) -> dict[str, str]:
     }
 
 
+def _return_cost(deck: str, test: str) -> str:
+    """SQL of the least, over cards that pass, of the four cheapest other ordinary fixed costs."""
+    others = f"list_sort(list_transform(list_filter(range(1, 9), lambda j: j <> k AND coalesce({deck}[j].ordinary_cycle AND {deck}[j].cost_kind = 'fixed' AND {deck}[j].deploy_cost IS NOT NULL, false)), lambda j: {deck}[j].deploy_cost))"
+    each = f"list_transform(range(1, 9), lambda k: {{'e': {deck}[k], 'o': {others}}})"
+    return f"list_min(list_transform(list_filter({each}, lambda s: coalesce({test.replace('e.', 's.e.')}, false) AND len(s.o) >= 4), lambda s: list_sum(s.o[1:4])))"
+
+
+def _returns(a: str, b: str) -> dict[str, str]:
+    out = {}
+    for f, ans in _ANSWER.items():
+        cost = lambda deck, test: f"list_transform(list_filter({deck}, lambda e: coalesce(({test}) AND e.cost_kind = 'fixed' AND e.deploy_cost IS NOT NULL, false)), lambda e: e.deploy_cost)"
+        x, y, least = _return_cost(a, f"e.{f}"), _return_cost(b, f"({ans})"), f"list_min({cost(b, ans)})"
+        out |= {
+            f"cycle__{f}__threat_commitment": f"coalesce(list_sum({cost(a, f'e.{f}')}), 0)", f"cycle__{f}__response_commitment": f"coalesce({least}, 0)", f"cycle__{f}__commitment_missing": f"({least} IS NULL)::INT",
+            f"cycle__{f}__return_cost_gap": f"coalesce({x} - {y}, 0)", f"cycle__{f}__return_cost_missing": f"({x} - {y} IS NULL)::INT",
+        }
+    return out
+
+
 def _patterns(a: str, b: str) -> dict[str, str]:
     out = {}
     for name, threat, support, defend, least, most in mechanics.PATTERNS:
@@ -108,7 +127,7 @@ def cycle(spark, sf_dir):
     return rounded(got.select(*KEYS, *_cycle("da", "db")))
 
 
-@query("m21_return_costs")
+@query("m21_return_costs", DECKS_SQL + _antisymmetric(_returns))
 def return_costs(spark, sf_dir):
     got = mechanics.features(decks(spark, sf_dir), "da", "db", (mechanics.cycle,), KEYS)
     return rounded(got.select(*KEYS, *[c for c in got.columns if c.count("__") == 2]))
