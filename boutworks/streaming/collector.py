@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -49,33 +49,46 @@ def poll(due_tags: Iterator[str], fetch: Callable[[str], list], clock: Callable[
         pause()
 
 
-_STATE = "variant string, variants int, reason string, ts timestamp, seen long"
-_OUT = "event_key string, state string, variants int, seen long, verdict string"
+#: The state store keeps its rows on the executors' disks, in so many MB of an executor's memory; the default one keeps them all in the heap.
+ROCKSDB, ROCKSDB_MB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", 256
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """New events are eligible or not; a repeated variant is a duplicate; a second variant conflicts for good."""
-    variant, variants, reason, ts, seen = state.get if state.exists else (None, 0, None, None, 0)
-    verdict = "duplicate"
-    for frame in frames:
-        for v, why, at in zip(frame["variant"], frame["reason"], frame["ts"], strict=True):
-            seen += 1
-            why = None if why is None or why != why else why
-            if variants == 0:
-                variant, variants, reason, ts, verdict = v, 1, why, at, "new"
-            else:
-                if pd.Timestamp(at) != pd.Timestamp(ts):
-                    raise ValueError(f"{key[0]} has two times")
-                if v != variant and variants == 1:
-                    variants, verdict = 2, "conflict"
-    state.update((variant, variants, reason, pd.Timestamp(ts).to_pydatetime(), seen))
-    name = "conflicted" if variants > 1 else ("eligible" if reason is None else "ineligible")
-    yield pd.DataFrame({"event_key": [key[0]], "state": [name], "variants": [variants], "seen": [seen], "verdict": [verdict]})
+def on_disk(stream: DataFrame) -> DataFrame:
+    """stream with its state in RocksDB, where the caller has chosen no store. These are options of a session, so the frame goes to a copy of its own."""
+    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore."
+    if not spark.conf.get(f"{key}providerClass").endswith(".HDFSBackedStateStoreProvider"):
+        return stream
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for name, value in (("providerClass", ROCKSDB), ("rocksdb.boundedMemoryUsage", "true"), ("rocksdb.maxMemoryUsageMB", str(ROCKSDB_MB)), ("rocksdb.compression", "zstd"), ("rocksdb.trackTotalNumberOfRows", "false")):
+        own.conf.set(f"{key}{name}", value)
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, stream._jdf.queryExecution().logical()), own)
 
 
 def match_states(observations: DataFrame) -> DataFrame:
-    """(event_key, variant, reason or null, ts) -> the state of each event after each batch that touches it."""
-    return observations.select("event_key", "variant", "reason", "ts").groupBy("event_key").applyInPandasWithState(_advance, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    """(event_key, variant, reason or null, ts) -> the state of each event after each batch that touches it.
+
+    New events are eligible or not, as their first batch says; a second variant conflicts for good; a second time is an
+    error. All of it is aggregated without Python: kept of an event are its count, its smallest and largest variant and
+    time, and when it was first seen with or without a reason. `verdicts` tells what each batch brought.
+    """
+    variant, at = F.coalesce(F.concat(F.lit("="), F.col("variant").cast("string")), F.lit("")), F.unix_micros(F.col("ts").cast("timestamp"))
+    # The time of the batch, the same for its rows, and in the last bit whether there is a reason.
+    first = F.unix_micros(F.current_timestamp()) * 2 + F.col("reason").isNotNull().cast("long")
+    # A time that is not known differs from every other.
+    early, late = F.coalesce(at, F.lit(-(2**63))), F.coalesce(at, F.lit(2**63 - 1))
+    got = on_disk(observations).select("event_key", variant.alias("variant"), first.alias("first"), early.alias("early"), late.alias("late")).groupBy("event_key")
+    got = got.agg(F.min("variant").alias("least"), F.max("variant").alias("most"), F.min("first").alias("first"), F.min("early").alias("early"), F.max("late").alias("late"), F.count("*").alias("seen"))
+    conflicted = F.col("least") != F.col("most")
+    state = F.when((F.col("seen") > 1) & (F.col("early") != F.col("late")), F.raise_error(F.concat(F.coalesce("event_key", F.lit("null")), F.lit(" has two times"))))
+    state = state.when(conflicted, "conflicted").when(F.col("first") % 2 == 0, "eligible").otherwise("ineligible")
+    return got.select("event_key", state.alias("state"), F.when(conflicted, 2).otherwise(1).alias("variants"), "seen")
+
+
+def verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """(event_key, batch, verdict) of the match states written below path: what a batch was to an event, new, a duplicate or the conflict."""
+    before = F.lag("variants").over(Window.partitionBy("event_key").orderBy("batch"))
+    verdict = F.when((F.col("variants") > 1) & (F.coalesce(before, F.lit(1)) == 1), "conflict").when(before.isNull(), "new").otherwise("duplicate")
+    return spark.read.parquet(f"{path}/out").select("event_key", "batch", verdict.alias("verdict"))
 
 
 def bounded(observations: DataFrame, delay: str) -> DataFrame:

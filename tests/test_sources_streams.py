@@ -182,6 +182,39 @@ def test_match_states_over_batches(spark, tmp_path):
     assert got == {"e1": ("conflicted", 2, 4), "e2": ("ineligible", 1, 1), "e3": ("eligible", 1, 1)}
 
 
+def test_match_states_go_on_without_python(spark, tmp_path):
+    t, schema = dt.datetime(2026, 5, 10, tzinfo=UTC), "event_key string, variant string, reason string, ts timestamp"
+    rows = spark.range(20_000).selectExpr("concat('e', id) as event_key", "'v' as variant", "if(id % 4 = 0, 'draw', null) as reason", "timestamp'2026-05-10' as ts")
+    rows.write.parquet(str(tmp_path / "in/0"))
+    spark.createDataFrame([("e1", "w", None, t), ("e2", "v", "draw", t), ("new", None, None, t)], schema).write.parquet(str(tmp_path / "in/1"))
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for folders in ("in/0*", "in/*"):  # the second run goes on from the state of the first
+        states = collector.match_states(spark.readStream.schema(schema).parquet(str(tmp_path / folders)))
+        assert "Pandas" not in states._jdf.queryExecution().logical().toString()
+        collector.run_once(states, str(tmp_path / "states"))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == store
+    got = collector.latest(spark, str(tmp_path / "states"), "event_key").groupBy("state", "variants", "seen").count().collect()
+    assert {tuple(r) for r in got} == {("ineligible", 1, 1, 5000), ("eligible", 1, 1, 14_999), ("conflicted", 2, 2, 1), ("eligible", 1, 2, 1)}
+
+
+def test_match_states_by_batch(spark, tmp_path):
+    t = dt.datetime(2026, 5, 10, tzinfo=UTC)
+    schema = "event_key string, variant string, reason string, ts timestamp"
+    batches = [
+        [("e1", "c", None, t), ("e2", None, "draw", t), ("e3", "a", None, t), ("e3", "b", None, t), ("e4", None, None, None)],
+        [("e1", "d", "draw", t), ("e2", None, None, t), ("e3", "a", None, t)],
+        [("e1", "a", None, t), ("e2", "", None, t), ("e1", "z", None, t)],
+    ]
+    collector.run_once(collector.match_states(stream_of(spark, tmp_path, batches, schema)), str(tmp_path / "states"))
+    got = {r.event_key: (r.state, r.variants, r.seen) for r in collector.latest(spark, str(tmp_path / "states"), "event_key").collect()}
+    assert got == {"e1": ("conflicted", 2, 4), "e2": ("conflicted", 2, 3), "e3": ("conflicted", 2, 3), "e4": ("eligible", 1, 1)}
+    told = collector.verdicts(spark, str(tmp_path / "states")).orderBy("event_key", "batch").collect()
+    assert [(r.event_key, r.verdict) for r in told] == [("e1", "new"), ("e1", "conflict"), ("e1", "duplicate"), ("e2", "new"), ("e2", "duplicate"), ("e2", "conflict"), ("e3", "conflict"), ("e3", "duplicate"), ("e4", "new")]
+    late = [[("e1", "a", None, t)], [("e1", "a", None, t + dt.timedelta(minutes=1))]]
+    with pytest.raises(Exception, match="e1 has two times"):
+        collector.run_once(collector.match_states(stream_of(spark, tmp_path / "late", late, schema)), str(tmp_path / "late/states"))
+
+
 def test_rolling_over_batches(spark, tmp_path):
     t = dt.datetime(2026, 5, 10, tzinfo=UTC)
     schema = "player string, ts timestamp, fingerprint string, chance double, win int"
